@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe
+from ledgerloom.llm import bpe, decontam
 from ledgerloom.tables import read
 
 #: The vocabulary of the token-id queries.
@@ -16,5 +16,34 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
-QUERIES = {"op7_bpe": op7_bpe}
-ORACLES: dict[str, str] = {}
+def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+OP9_SQL = """
+WITH item_words AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, len(w) AS n, array_to_string(list_slice(w, i, i + 9), ' ') AS phrase, least(len(w), 10) AS size
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item_words WHERE len(w) > 0)
+), doc_words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w FROM documents
+), sizes AS (SELECT DISTINCT size FROM windows
+), runs AS (
+  SELECT doc_id, size, unnest(range(1, len(w) - size + 2)) AS i, w FROM doc_words, sizes WHERE len(w) >= size
+), hits AS (
+  SELECT DISTINCT r.doc_id, r.i, r.size, p.item_id
+  FROM (SELECT doc_id, i, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS phrase FROM runs) r
+  JOIN windows p ON p.phrase = r.phrase AND p.size = r.size
+), places AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS place FROM hits) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hits GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+QUERIES = {"op7_bpe": op7_bpe, "op9_decontam": op9_decontam}
+ORACLES: dict[str, str] = {"op9_decontam": OP9_SQL}
