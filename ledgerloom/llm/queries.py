@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, decontam, neardup, urlfilter
+from ledgerloom.llm import bpe, decontam, html, neardup, urlfilter
 from ledgerloom.tables import read
 
 #: The vocabulary of the token-id queries.
@@ -77,5 +77,9 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM doc_words d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-QUERIES = {"op4_urlfilter": op4_urlfilter, "op7_bpe": op7_bpe, "op8_neardup": op8_neardup, "op9_decontam": op9_decontam}
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op4_urlfilter": op4_urlfilter, "op7_bpe": op7_bpe, "op8_neardup": op8_neardup, "op9_decontam": op9_decontam, "op10_html": op10_html}
 ORACLES: dict[str, str] = {"op8_neardup": OP8_SQL, "op9_decontam": OP9_SQL}
