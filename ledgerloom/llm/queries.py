@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, decontam, html, neardup, urlfilter
+from ledgerloom.llm import bpe, decontam, html, neardup, quality, urlfilter
 from ledgerloom.tables import read
 
 #: The vocabulary of the token-id queries.
 VOCABULARY = "word_bpe_49k.json"
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 #: Rules of the URL query.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
@@ -81,5 +85,5 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op4_urlfilter": op4_urlfilter, "op7_bpe": op7_bpe, "op8_neardup": op8_neardup, "op9_decontam": op9_decontam, "op10_html": op10_html}
+QUERIES = {"op1_quality": op1_quality, "op4_urlfilter": op4_urlfilter, "op7_bpe": op7_bpe, "op8_neardup": op8_neardup, "op9_decontam": op9_decontam, "op10_html": op10_html}
 ORACLES: dict[str, str] = {"op8_neardup": OP8_SQL, "op9_decontam": OP9_SQL}
