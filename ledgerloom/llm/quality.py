@@ -35,6 +35,8 @@ from ledgerloom.llm.common import runs, stored
 #: Labelled rows that the model is fitted on, at most; terms that get vectors of their own, at most, and from how many
 #: documents of the sample on; size of the vectors, places of an index vector, words to either side.
 SAMPLE, TERMS, TERM_DOCS, SIZE, PLACES, WINDOW = 6_000, 20_000, 5, 64, 6, 2
+#: Terms at which a document's vector counts half; the doubt that calibration leaves about a label.
+SHRINK, DOUBT = 8, 0.02
 
 _TERM = re.compile(r"[^\W\d_]+|\d+|(?:[^\w\s]|_)+")
 
@@ -102,6 +104,14 @@ def pooled(texts: list[str | None], number: dict[str, int], vectors: np.ndarray)
     return out
 
 
+def standardised(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Features about the mean; those of short documents, which rest on few terms, shrink towards it."""
+    n = np.expm1(x[:, -2:-1])
+    z = (x - mean) / scale
+    z[:, :-2] *= n / (n + SHRINK)
+    return z
+
+
 def _network(x: np.ndarray, layers: list[np.ndarray]) -> np.ndarray:
     w1, b1, w2, b2 = layers
     return np.tanh(x @ w1 + b1) @ w2 + b2
@@ -130,8 +140,8 @@ def fit_network(x: np.ndarray, y: np.ndarray, weight: np.ndarray, hidden: int =
 
 def fit_temperature(logits: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     """The temperature of the least weighted log loss, by a fine search."""
-    tried = np.exp(np.linspace(np.log(0.25), np.log(8), 200))
-    loss = [np.average(np.logaddexp(0, -logits / t * (2 * y - 1)), weights=weight) for t in tried]
+    tried, y = np.exp(np.linspace(np.log(0.25), np.log(16), 300)), y * (1 - DOUBT) + DOUBT / 2
+    loss = [np.average(np.logaddexp(0, logits / t) - y * logits / t, weights=weight) for t in tried]
     return float(tried[int(np.argmin(loss))]) if len(y) else 1.0
 
 
@@ -198,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     weight = np.where(y == 1, shares[1] / max(y.sum(), 1), shares[0] / max((1 - y).sum(), 1))
     weight *= len(y) / weight.sum()
     mean, scale = x.mean(0), x.std(0) + 1e-3
-    x = (x - mean) / scale
+    x = standardised(x, mean, scale)
     check = np.arange(len(y)) % 5 == 0
     layers = fit_network(x[~check], y[~check], weight[~check])
     temperature = fit_temperature(_network(x[check], layers), y[check], weight[check])
@@ -208,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def predict(model: Model, texts: list[str | None]) -> np.ndarray:
     if model.constant is not None:
         return np.full(len(texts), model.constant)
-    x = (pooled(texts, model.number, model.vectors) - model.mean) / model.scale
+    x = standardised(pooled(texts, model.number, model.vectors), model.mean, model.scale)
     return 1 / (1 + np.exp(-np.clip(_network(x, model.layers) / model.temperature, -40, 40)))
 
 
