@@ -120,7 +120,7 @@ def components(edges: DataFrame) -> DataFrame:
     both = stored(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("comp")))
     while True:
-        low = both.join(labels.withColumnsRenamed({"node": "b", "comp": "theirs"}), "b").groupBy("a").agg(F.min("theirs").alias("low"))
+        low = both.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("theirs")), "b").groupBy("a").agg(F.min("theirs").alias("low"))
         sunk = labels.join(low.withColumnRenamed("a", "node"), "node").select("node", F.col("comp").alias("was"), F.least("comp", "low").alias("comp"))
         jump = sunk.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
         moved = stored(sunk.join(jump, "comp", "left").select("node", "was", F.least("comp", F.coalesce("far", "comp")).alias("comp")))
@@ -164,7 +164,7 @@ def linked_classes(docs: DataFrame, reps: DataFrame, size: int, percent: int) ->
         if not good.isEmpty():
             joined = components(good)
             labels = joined if labels is None else stored(
-                labels.join(joined.withColumnsRenamed({"node": "comp", "comp": "now"}), "comp", "left").select("node", F.coalesce("now", "comp").alias("comp"))
+                labels.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("now")), "comp", "left").select("node", F.coalesce("now", "comp").alias("comp"))
                 .unionByName(joined.join(labels, "node", "left_anti"))
             )
         members = active.join(chosen.select("key", F.col("lead").alias("node")), ["key", "node"], "left_anti").select("key", "node", "degree")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, decontam, html, langid, neardup, quality, urlfilter
+from ledgerloom.llm import bpe, decontam, html, langid, neardup, orc_tokens, quality, urlfilter
 from ledgerloom.tables import read
 
 #: The vocabulary of the token-id queries.
@@ -16,6 +16,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op2_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orc_tokens.write_and_digest(read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
@@ -89,5 +93,5 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op3_langid": op3_langid, "op4_urlfilter": op4_urlfilter, "op7_bpe": op7_bpe, "op8_neardup": op8_neardup, "op9_decontam": op9_decontam, "op10_html": op10_html}
+QUERIES = {"op1_quality": op1_quality, "op2_orc_tokens": op2_orc_tokens, "op3_langid": op3_langid, "op4_urlfilter": op4_urlfilter, "op7_bpe": op7_bpe, "op8_neardup": op8_neardup, "op9_decontam": op9_decontam, "op10_html": op10_html}
 ORACLES: dict[str, str] = {"op8_neardup": OP8_SQL, "op9_decontam": OP9_SQL}
