@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, decontam, html, langid, neardup, orc_tokens, quality, urlfilter
+from ledgerloom.llm import ann, bpe, decontam, html, langid, neardup, orc_tokens, quality, urlfilter
 from ledgerloom.tables import read
 
 #: The vocabulary of the token-id queries.
@@ -32,6 +32,24 @@ def op4_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"))
+
+
+OP6_SQL = """
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0
+    AND len(list_filter(embedding, lambda v: v <> 0)) > 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x) AS score
+  FROM usable q JOIN usable c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 20
+"""
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -93,5 +111,5 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_orc_tokens": op2_orc_tokens, "op3_langid": op3_langid, "op4_urlfilter": op4_urlfilter, "op7_bpe": op7_bpe, "op8_neardup": op8_neardup, "op9_decontam": op9_decontam, "op10_html": op10_html}
-ORACLES: dict[str, str] = {"op8_neardup": OP8_SQL, "op9_decontam": OP9_SQL}
+QUERIES = {"op1_quality": op1_quality, "op2_orc_tokens": op2_orc_tokens, "op3_langid": op3_langid, "op4_urlfilter": op4_urlfilter, "op6_ann": op6_ann, "op7_bpe": op7_bpe, "op8_neardup": op8_neardup, "op9_decontam": op9_decontam, "op10_html": op10_html}
+ORACLES: dict[str, str] = {"op6_ann": OP6_SQL, "op8_neardup": OP8_SQL, "op9_decontam": OP9_SQL}
