@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import ann, bpe, decontam, html, langid, neardup, orc_tokens, quality, urlfilter
+from ledgerloom.llm import ann, bpe, decontam, html, langid, lm, neardup, orc_tokens, quality, urlfilter
 from ledgerloom.tables import read
 
 #: The vocabulary of the token-id queries.
@@ -32,6 +32,10 @@ def op4_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read(spark, sf_dir, "documents"))
+
+
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read(spark, sf_dir, "embeddings"))
 
@@ -111,5 +115,5 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_orc_tokens": op2_orc_tokens, "op3_langid": op3_langid, "op4_urlfilter": op4_urlfilter, "op6_ann": op6_ann, "op7_bpe": op7_bpe, "op8_neardup": op8_neardup, "op9_decontam": op9_decontam, "op10_html": op10_html}
+QUERIES = {"op1_quality": op1_quality, "op2_orc_tokens": op2_orc_tokens, "op3_langid": op3_langid, "op4_urlfilter": op4_urlfilter, "op5_lm": op5_lm, "op6_ann": op6_ann, "op7_bpe": op7_bpe, "op8_neardup": op8_neardup, "op9_decontam": op9_decontam, "op10_html": op10_html}
 ORACLES: dict[str, str] = {"op6_ann": OP6_SQL, "op8_neardup": OP8_SQL, "op9_decontam": OP9_SQL}
