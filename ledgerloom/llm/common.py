@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step takes at once (a longer document is a run of its own).
 RUN_BYTES = 2 << 20
@@ -47,6 +48,28 @@ def runs(column: pa.Array, limit: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
         a = b
 
 
+def kept_rows(docs: DataFrame, text_col: str, decider: Callable[[], Callable[[list[str | None]], np.ndarray]]) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text the decision of ``decider()`` keeps. The decision is
+    made on batches of whole texts where the rows are; nothing is shuffled."""
+    at = docs.columns.index(text_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decide = decider()
+        for batch in batches:
+            for a, b in runs(batch.column(at)):
+                part = batch.slice(a, b - a)
+                yield part.filter(pa.array(decide(part.column(at).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id is not among ``ids``. The ids are written first, so that Spark knows their size and
+    sends them to the rows if they are few, or else joins by key; rows with a null id stay."""
+    gone = stored(ids.where(F.col(id_col).isNotNull()).distinct())
+    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+
+
 def offsets_of(column: pa.Array) -> np.ndarray:
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     kind = np.int64 if wide else np.int32

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import NOT_ALNUM, runs, stored, utf8, words
+from ledgerloom.llm.common import NOT_ALNUM, runs, stored, utf8, without, words
 
 #: Test items are searched in blocks of at most so many bytes of text; more items make more passes over the index.
 BLOCK_BYTES = 1 << 20
@@ -202,3 +202,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, slack:
         F.col("doc_id").alias(id_col), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` in which no window of a test item occurs."""
+    found = contamination(docs, benchmark, width, id_col=id_col, text_col=text_col)
+    return without(docs, found.where("contaminated").select(id_col), id_col)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import runs
+from ledgerloom.llm.common import kept_rows, runs
 from ledgerloom.llm.quality import held_out
 
 #: Labelled rows that windows are taken from, windows of a row at most, words of a window; frequent words a language
@@ -265,3 +265,19 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     kind = dict(docs.dtypes)[id_col]
     found = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, f"id {kind}, held_out BOOLEAN, lang_pred STRING, score DOUBLE")
     return found.withColumnRenamed("id", id_col)
+
+
+def keep_known(docs: DataFrame, least: float = 0.35, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` with a language: not ``und``, and at least the share ``least`` of the label chances."""
+    field = docs.sparkSession.sparkContext.broadcast(fit_field(training_windows(docs, id_col, text_col, lang_col)))
+
+    def decider():
+        labeller = Labeller(field.value)
+
+        def decide(texts: list[str | None]) -> np.ndarray:
+            names, score = labeller.predict(texts)
+            return (np.array(names, object) != "und") & (score >= least)
+
+        return decide
+
+    return kept_rows(docs, text_col, decider)

@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ledgerloom.llm.common import SPACES, grams, mix, runs, stored, utf8, words
+from ledgerloom.llm.common import SPACES, grams, mix, runs, stored, utf8, without, words
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
@@ -185,3 +186,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         placed = placed.join(labels, "node", "left").withColumn("node", F.coalesce("comp", "node"))
     component = F.when(F.col("doc_id").isNotNull(), F.col("node"))
     return placed.select(F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each near-duplicate component: that of the least id, one row if rows repeat the id."""
+    found = near_duplicates(docs, size, percent, id_col=id_col, text_col=text_col)
+    rest = without(docs, found.where(~F.col("kept")).select(id_col), id_col)
+    again = stored(docs.groupBy(id_col).count().where("count > 1").select(id_col))
+    once = without(rest, again, id_col)
+    own = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col)
+    repeated = rest.where(F.col(id_col).isNotNull()).join(again, id_col, "left_semi").withColumn("_nth", F.row_number().over(own)).where("_nth = 1").select(docs.columns)
+    return once.unionByName(repeated)

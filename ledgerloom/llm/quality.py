@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import runs, stored
+from ledgerloom.llm.common import kept_rows, runs, stored
 
 #: Labelled rows that the model is fitted on, at most; terms that get vectors of their own, at most, and from how many
 #: documents of the sample on; size of the vectors, places of an index vector, words to either side.
@@ -235,3 +235,9 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     kind = dict(docs.dtypes)[id_col]
     scored = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, f"id {kind}, held_out BOOLEAN, score DOUBLE")
     return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, label_col))
+    return kept_rows(docs, text_col, lambda: lambda texts: predict(model.value, texts) >= threshold)
