@@ -1,10 +1,59 @@
-"""The corpus pipeline: quality, language, near-duplicates, contamination, token ids."""
+"""The corpus pipeline: quality, language, near-duplicates, contamination by test items, token ids.
+
+Each stage works on all rows that the one before it kept; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from ledgerloom.llm import bpe, decontam, langid, neardup, quality
+from ledgerloom.llm.common import stored
+from ledgerloom.tables import read
+
+#: SQL cannot express the learned stages; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
+VOCABULARY = "word_bpe_49k.json"
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return quality.keep_good(docs, read(spark, sf_dir, "labels"))
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the identifier has learned."""
+    return langid.keep_known(docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-duplicates (five-word shingles, similarity of 0.8 or more)."""
+    return neardup.keep_one(docs)
+
+
+def without_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of ten words of a benchmark item."""
+    return decontam.keep_clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Digests of each document's token ids and of the text that they decode to."""
+    return bpe.encode_documents(docs, public_tokenizers.path(VOCABULARY))
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("language", known_language),
+    ("near_duplicates", without_near_copies),
+    ("decontamination", without_test_items),
+    ("token_ids", token_ids),
+]
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each stage's result written and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
