@@ -1,10 +1,9 @@
 """Byte-pair encoding and decoding of whole texts by a prefix-sharing trie traversal.
 
-A text falls into chunks at white space, a chunk into the words of the vocabulary's pre-tokenizer. The distinct words
-of a run of documents are walked in the depth-first order of their trie (their sorted order; the path from the root is
+A text falls into the words of the vocabulary's pre-tokenizer. The distinct words of a run of documents are walked in the depth-first order of their trie (their sorted order; the path from the root is
 a stack). Each node keeps one thing: the last token of the encoding of its prefix. That token fixes the encoding, as a
 sequence of tokens is an encoding if and only if each pair of neighbours is one; so a node costs a few lookups, and
-what two words share is worked out once. Chunks and words already seen are kept in tables of bounded size.
+what two words share is worked out once. Words already seen are kept in a table of bounded size.
 
 Defined cases: a null or empty text, or one of white space only, has no tokens and decodes to the empty string; equal
 rows give equal results; other columns of the input do not matter.
@@ -14,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -23,15 +23,16 @@ from pyspark.sql import DataFrame
 
 from ledgerloom.llm.common import runs
 
-#: Entries of a worker's table of chunks, and of its table of words; a full table starts anew.
+#: Words that a worker's table keeps; a full table starts anew.
 KEPT = 500_000
 #: A vocabulary file goes to every executor; larger ones are refused.
 MOST_VOCABULARY_BYTES = 64 << 20
 
-# Fixed values of the vocabulary's pre-tokenizer and of byte-level vocabularies.
+# Fixed values of the vocabulary's pre-tokenizer and of byte-level vocabularies; the second form is the first one's for
+# lower-case texts of ASCII and the Latin letters up to U+024F, which the third one tells.
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_BLANK = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-_SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
+_LATIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\u024f]+|[0-9]|[^\sa-z0-9\xdf-\xf6\xf8-\u024f]+", re.ASCII)
+_LATIN = re.compile(r"[\x00-\x7f\xdf-\xf6\xf8-\u024f]*")
 WORD_END = "</w>"
 
 
@@ -54,19 +55,13 @@ def vocabulary_text(path: str) -> str:
     return text
 
 
-def chunks_of(text: str) -> list[str]:
-    """Parts between white space as Unicode has it."""
-    if any(s in text for s in _SEPARATORS):  # white space to str.split, not to the vocabulary
-        return [c for c in _BLANK.split(text) if c]
-    return text.split()
-
-
 class TrieEncoder:
     """Encodes words of a merge list with word ends."""
 
     def __init__(self, vocabulary: str):
         model = json.loads(vocabulary)["model"]
         self.ids: dict[str, int] = model["vocab"]
+        self.raw = {t: k.to_bytes(4, "little") for t, k in self.ids.items()}
         self.rank = {tuple(m): k for k, m in enumerate(model["merges"])}
         self.fits: dict[tuple[str, str], bool] = {}
         self.sizes: dict[str, list[int]] = {}
@@ -133,10 +128,10 @@ class TrieEncoder:
                     return token
         raise ValueError(f"no token of the vocabulary ends {letters[:n]!r}")
 
-    def encode(self, words: set[str]) -> dict[str, list[str]]:
-        """Tokens of each word, by a depth-first walk of the words' trie: ``state[d]`` is the last token of the first
-        ``d`` letters of the path."""
-        out: dict[str, list[str]] = {}
+    def encode(self, words: set[str]) -> Iterator[tuple[str, bytes, str]]:
+        """Each word with its ids and its decoded text, by a depth-first walk of the words' trie: ``state[d]`` is the
+        last token of the first ``d`` letters of the path."""
+        raw = self.raw
         state, path = [""], ""
         for letters, word in sorted((letters_of(w), w) for w in words):
             n, shared, most = len(letters), 0, min(len(state), len(letters)) - 1
@@ -152,8 +147,8 @@ class TrieEncoder:
                 token = state[d]
                 found.append(token)
                 d -= len(token)
-            out[word] = found[::-1]
-        return out
+            found.reverse()
+            yield word, b"".join([raw[t] for t in found]), " ".join(found)
 
 
 def letters_of(word: str) -> str:
@@ -163,70 +158,50 @@ def letters_of(word: str) -> str:
 
 
 class Encoder:
-    """Whole texts to ids and decoded text. ``words_to_tokens`` encodes a set of words at once; what has been encoded
-    is kept, up to a bound, so that each chunk of a text costs one lookup."""
+    """Whole texts to ids and decoded text. ``words_to_tokens`` encodes a set of words at once; words that have been
+    encoded are kept, up to a bound, so that a word of a text costs one lookup."""
 
-    def __init__(self, vocabulary: str, words_to_tokens: Callable[[set[str]], dict[str, list[str]]]):
-        made = json.loads(vocabulary)
-        self.special = {t["content"]: t["id"] for t in made["added_tokens"]}
+    def __init__(self, vocabulary: str, words_to_tokens: Callable[[set[str]], Iterator[tuple[str, bytes, str]]]):
+        self.special = {t["content"]: t["id"] for t in json.loads(vocabulary)["added_tokens"]}
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.ids = made["model"]["vocab"] | self.special
         self.words_to_tokens = words_to_tokens
-        self.words: dict[str, tuple[bytes, str]] = {}
-        self.chunk_ids: dict[str, bytes] = {}
-        self.chunk_text: dict[str, str] = {}
+        self.forget()
 
-    @staticmethod
-    def lowered(text: str) -> str:
-        """The text in the case of the vocabulary where that can be done at once, so that fewer chunks differ."""
-        plain = text.isascii() or ("\u03a3" not in text and unicodedata.is_normalized("NFC", text))
-        return text.lower() if plain and "<|" not in text else text
-
-    def parts(self, chunk: str) -> list[str]:
-        """The words of a chunk, special tokens as they stand."""
-        if chunk.isascii():
-            if chunk.isalpha():
-                return [chunk.lower()]
-            if "<|" not in chunk:
-                return _WORDS.findall(chunk.lower())
-        found: list[str] = []
-        for k, part in enumerate(self.at_special.split(chunk) if self.at_special else [chunk]):
-            if k % 2:
-                found.append(part)
-            elif part:  # letter by letter, so without the final form of sigma
-                found += _WORDS.findall(unicodedata.normalize("NFC", part).replace("\u03a3", "\u03c3").lower())
-        return found
+    def forget(self) -> None:
+        self.ids = {t: k.to_bytes(4, "little") for t, k in self.special.items()}
+        self.texts = {t: t for t in self.special}
 
-    def learn(self, chunks: set[str]) -> None:
-        split = {c: self.parts(c) for c in chunks}
-        new = set().union(*split.values()).difference(self.words, self.special)
-        if len(self.words) + len(new) > KEPT:
-            self.words = {}
-            new = set().union(*split.values()).difference(self.special)
-        for word, tokens in self.words_to_tokens(new).items():
-            self.words[word] = (b"".join(self.ids[t].to_bytes(4, "little") for t in tokens), " ".join(tokens))
-        if len(self.chunk_ids) + len(chunks) > KEPT:
-            self.chunk_ids.clear()
-            self.chunk_text.clear()
-        known, special = self.words, self.special
-        for chunk, words in split.items():
-            found = [(special[w].to_bytes(4, "little"), w) if w in special else known[w] for w in words]
-            self.chunk_ids[chunk] = b"".join([f[0] for f in found])
-            self.chunk_text[chunk] = " ".join([f[1] for f in found])
+    def words(self, text: str) -> list[str]:
+        """The words of the pre-tokenizer, special tokens as they stand."""
+        if "<|" in text and self.at_special:
+            found = []
+            for k, part in enumerate(self.at_special.split(text)):
+                found += [part] if k % 2 else plain_words(part)
+            return found
+        return plain_words(text)
 
     def encode(self, texts: list[str], decode: bool = True) -> Iterator[tuple[bytes, str | None]]:
         """Per text its ids as little-endian 32-bit integers, and with ``decode`` the decoded text."""
-        split = [chunks_of(self.lowered(t)) if t else [] for t in texts]
-        chunks = set().union(*split)
-        missing = chunks.difference(self.chunk_ids)
-        if len(self.chunk_ids) + len(missing) > KEPT:  # the tables start anew with all chunks of this run
-            missing = chunks
-            self.chunk_ids.clear()
-            self.chunk_text.clear()
-        if missing:
-            self.learn(missing)
-        for parts in split:
-            yield b"".join(map(self.chunk_ids.__getitem__, parts)), " ".join(map(self.chunk_text.__getitem__, parts)) if decode else None
+        split = [self.words(t) if t else [] for t in texts]
+        words = set().union(*split)
+        new = words.difference(self.ids)
+        if len(self.ids) + len(new) > KEPT:  # the tables start anew with the words of this run
+            self.forget()
+            new = words.difference(self.ids)
+        for word, ids, text in self.words_to_tokens(new):
+            self.ids[word] = ids
+            self.texts[word] = text
+        for words in split:
+            yield b"".join(map(self.ids.__getitem__, words)), " ".join(map(self.texts.__getitem__, words)) if decode else None
+
+
+def plain_words(text: str) -> list[str]:
+    """Words of a text without special tokens, in the vocabulary's normal form: composed, each letter lower-cased by
+    itself (so without the final form of sigma)."""
+    if text.isascii():
+        return _LATIN_WORDS.findall(text.lower())
+    text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
+    return (_LATIN_WORDS if _LATIN.fullmatch(text) else _WORDS).findall(text)
 
 
 _ENCODERS: dict[tuple[type, int], Encoder] = {}

@@ -34,35 +34,33 @@ _ENCODED = pa.schema([("doc_id", pa.int64()), ("local_start", pa.int64()), ("n_t
 
 
 class LibraryEncoder:
-    """Tokens of words by the tokenizers library."""
+    """Ids of words by the tokenizers library."""
 
     def __init__(self, vocabulary: str):
         self.library = Tokenizer.from_str(vocabulary)
         self.library.no_padding()
         self.library.no_truncation()
         tokens = self.library.get_vocab(with_added_tokens=True)
-        self.token = [""] * (max(tokens.values()) + 1)
-        for token, k in tokens.items():
-            self.token[k] = token
-
-    def encode(self, words: set[str]) -> dict[str, list[str]]:
-        """Tokens of each word; a word of the pre-tokenizer never holds white space."""
-        out: dict[str, list[str]] = {}
-        order = sorted(words)
+        self.ends_word = np.zeros(max(tokens.values()) + 1, bool)
+        self.ends_word[[k for token, k in tokens.items() if token.endswith(WORD_END)]] = True
+
+    def encode(self, words: set[str]) -> Iterator[tuple[str, bytes, str]]:
+        """Each word with its ids; a word of the pre-tokenizer never holds white space."""
+        order = list(words)
         for a in range(0, len(order), 10_000):
             part = order[a : a + 10_000]
-            made: list[list[str]] = [[]]
-            for token in self.tokens(" ".join(part)):
-                made[-1].append(token)
-                if token.endswith(WORD_END):
-                    made.append([])
-            if len(made) != len(part) + 1:  # the library saw other words than the pre-tokenizer did
-                made = [self.tokens(word) for word in part]
-            out.update(zip(part, made, strict=False))
-        return out
-
-    def tokens(self, text: str) -> list[str]:
-        return [self.token[k] for k in self.library.encode(text, add_special_tokens=False).ids]
+            ids = self.ids(" ".join(part))
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+            if len(ends) == len(part):
+                raw = ids.tobytes()
+                for word, low, high in zip(part, [0, *ends], ends, strict=False):
+                    yield word, raw[4 * low : 4 * high], ""
+            else:  # the library saw other words than the pre-tokenizer did
+                for word in part:
+                    yield word, self.ids(word).tobytes(), ""
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
 
 
 def encoded(docs: DataFrame, vocabulary_path: str, end_id: int, id_col: str, text_col: str, partitions: int | None = None) -> DataFrame:
