@@ -1,4 +1,381 @@
-"""Registry of the ledger queries and their DuckDB oracles."""
+"""Queries over the ledger that is derived from the order tables, each with its DuckDB oracle.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+``pinned`` is an epoch in the middle of the history (in SQL: the row of ``pin``), ``last`` the newest one.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerloom.functions import scalars
+from ledgerloom.operators import derive, utxo
+from ledgerloom.operators.visibility import as_of, common_ancestor, missing_heights, on_branch, parent_links, valid_intervals, visible_blocks
+from ledgerloom.plans.projection import LEDGER_SQL, Ledger, digest
+from ledgerloom.schema import SUBTREE_LEAVES
+from ledgerloom.streaming import events as log
+from ledgerloom.tables import read
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None, ledger: bool = True):
+    """Registers a function of (Ledger) or, with ``ledger`` false, of (spark, sf_dir)."""
+
+    def register(function):
+        name = function.__name__
+        QUERIES[name] = (lambda spark, sf_dir: function(Ledger(spark, sf_dir))) if ledger else function
+        if sql is not None:
+            ORACLES[name] = LEDGER_SQL + sql if ledger else sql
+        return function
+
+    return register
+
+
+def _tip(led: Ledger, epoch: int) -> int:
+    """The tip at an epoch; epochs are one row each."""
+    found = led.epochs().where(F.col("epoch") <= epoch).agg(F.max("tip_height")).first()[0]
+    return found or 0
+
+
+def _visible(led: Ledger, epoch: int | None = None) -> DataFrame:
+    epoch = led.pinned if epoch is None else epoch
+    return visible_blocks(led.blocks(), epoch, _tip(led, epoch))
+
+
+def _unspent(led: Ledger) -> DataFrame:
+    return utxo.unspent(led.outputs(), led.spends(), _visible(led), led.pinned)
+
+
+# snapshots and blocks
+
+
+@query("SELECT epoch, tip_height AS height, tip_hash AS block_hash FROM epochs ORDER BY epoch DESC LIMIT 1")
+def latest_block(led: Ledger) -> DataFrame:
+    return led.epochs().orderBy(F.desc("epoch")).limit(1).select("epoch", F.col("tip_height").alias("height"), F.col("tip_hash").alias("block_hash"))
+
+
+@query("SELECT epoch, tip_height, tip_hash, start_height, finalized_height, kind FROM epochs")
+def chain_epochs(led: Ledger) -> DataFrame:
+    return led.epochs()
+
+
+@query("SELECT height, epoch, block_hash, parent_hash FROM visible")
+def visible_blocks_at_epoch(led: Ledger) -> DataFrame:
+    return _visible(led).select("height", "epoch", "block_hash", "parent_hash")
+
+
+@query("SELECT height, epoch, block_hash FROM visible WHERE height = (SELECT max(height) FROM visible) // 2 + 1")
+def block_at_height(led: Ledger) -> DataFrame:
+    height = _tip(led, led.pinned) // 2 + 1
+    return as_of(led.blocks().where(F.col("height") == height), ["height"], led.pinned).select("height", "epoch", "block_hash")
+
+
+@query("""SELECT v.height, v.block_hash, count(*) AS n_txs, sum(t.order_key % 1000)::BIGINT AS key_sum FROM visible v JOIN txs t ON t.height = v.height AND t.block_hash = v.block_hash
+WHERE v.height BETWEEN 5 AND 1004 GROUP BY ALL""")
+def compact_block_range(led: Ledger) -> DataFrame:
+    blocks = _visible(led).where(F.col("height").between(5, 1004))
+    return on_branch(led.transactions(), blocks).groupBy("height", "block_hash").agg(F.count("*").alias("n_txs"), F.sum(F.col("order_key") % 1000).alias("key_sum"))
+
+
+@query("SELECT height, row_number() OVER (ORDER BY height DESC) - 1 AS position, block_hash FROM visible WHERE height BETWEEN 3 AND 42")
+def desc_block_range(led: Ledger) -> DataFrame:
+    blocks = _visible(led).where(F.col("height").between(3, 42))
+    top = blocks.agg(F.max("height").alias("top"))
+    return blocks.crossJoin(F.broadcast(top)).select("height", (F.col("top") - F.col("height")).alias("position"), "block_hash").orderBy(F.desc("height"))
+
+
+@query("SELECT unnest(range(1, (SELECT max(height) FROM visible) + 11)) AS height EXCEPT SELECT height FROM visible")
+def range_gap_check(led: Ledger) -> DataFrame:
+    return missing_heights(_visible(led), 1, _tip(led, led.pinned) + 10)
+
+
+@query("SELECT epoch AS valid_from, lead(epoch) OVER (PARTITION BY height ORDER BY epoch) AS valid_to, height, block_hash FROM blocks")
+def valid_epochs(led: Ledger) -> DataFrame:
+    return valid_intervals(led.blocks()).select("valid_from", "valid_to", "height", "block_hash")
+
+
+@query("""SELECT v.height, v.block_hash, b.block_hash = v.parent_hash AS linked FROM visible_last v LEFT JOIN visible_last b ON b.height = v.height - 1""")
+def parent_link_check(led: Ledger) -> DataFrame:
+    return parent_links(_visible(led, led.last_epoch)).select("height", "block_hash", "linked")
+
+
+@query("SELECT height, count(DISTINCT block_hash) AS n_versions FROM blocks GROUP BY height HAVING count(DISTINCT block_hash) > 1")
+def conflicting_heights(led: Ledger) -> DataFrame:
+    return led.blocks().groupBy("height").agg(F.count_distinct("block_hash").alias("n_versions")).where("n_versions > 1")
+
+
+@query("""SELECT max(c.height) AS ancestor_height FROM (SELECT height, block_hash FROM blocks WHERE branch = 0) c JOIN visible_last v USING (height, block_hash)
+WHERE c.height <= (SELECT max(height) FROM blocks WHERE branch = 1)""")
+def fork_ancestor(led: Ledger) -> DataFrame:
+    blocks = led.blocks()
+    top = blocks.where("branch = 1").agg(F.max("height").alias("top"))
+    candidate = blocks.where("branch = 0").join(F.broadcast(top), F.col("height") <= F.col("top"))
+    return common_ancestor(candidate, _visible(led, led.last_epoch))
+
+
+# transactions
+
+
+@query("""SELECT t.txid, t.height, t.block_hash, t.epoch FROM (SELECT txid, max_by(height, epoch) AS height, max_by(block_hash, epoch) AS block_hash, max(epoch) AS epoch FROM txs WHERE epoch <= (SELECT e FROM pin) GROUP BY txid) t
+JOIN visible v ON v.height = t.height AND v.block_hash = t.block_hash""")
+def transactions_by_id(led: Ledger) -> DataFrame:
+    newest = as_of(led.transactions().select("txid", "height", "block_hash", "epoch"), ["txid"], led.pinned)
+    return on_branch(newest, _visible(led))
+
+
+@query("""SELECT t.height, t.txid, row_number() OVER (PARTITION BY t.height ORDER BY t.order_key) - 1 AS tx_index FROM txs t JOIN visible v ON v.height = t.height AND v.block_hash = t.block_hash WHERE t.height % 10 = 3
+QUALIFY tx_index < 2""")
+def tx_by_block_index(led: Ledger) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    order = Window.partitionBy("height").orderBy("order_key")
+    rows = on_branch(led.transactions().where("height % 10 = 3"), _visible(led))
+    return rows.withColumn("tx_index", F.row_number().over(order) - 1).where("tx_index < 2").select("height", "txid", F.col("tx_index").cast("bigint").alias("tx_index"))
+
+
+@query("""SELECT DISTINCT t.txid, t.height FROM txs t WHERE NOT EXISTS (SELECT 1 FROM txs u JOIN visible_last v ON v.height = u.height AND v.block_hash = u.block_hash WHERE u.txid = t.txid)""")
+def orphaned_txs(led: Ledger) -> DataFrame:
+    seen = on_branch(led.transactions(), _visible(led, led.last_epoch)).select("txid")
+    return led.transactions().select("txid", "height").distinct().join(seen, "txid", "left_anti")
+
+
+@query("SELECT o.txid, o.output_index, o.epoch FROM outputs o WHERE NOT EXISTS (SELECT 1 FROM visible_last v WHERE v.height = o.height AND v.block_hash = o.block_hash)")
+def orphan_artifacts_antijoin(led: Ledger) -> DataFrame:
+    return led.outputs().join(_visible(led, led.last_epoch), ["height", "block_hash"], "left_anti").select("txid", "output_index", "epoch")
+
+
+@query("SELECT txid, output_index, count(*) AS n FROM outputs GROUP BY ALL HAVING count(*) > 1")
+def duplicate_outpoints(led: Ledger) -> DataFrame:
+    return led.outputs().groupBy("txid", "output_index").agg(F.count("*").alias("n")).where("n > 1")
+
+
+# unspent outputs
+
+
+@query("SELECT txid, output_index, address, value_zat, height FROM unspent")
+def address_utxos(led: Ledger) -> DataFrame:
+    return _unspent(led).select("txid", "output_index", "address", "value_zat", "height")
+
+
+@query("SELECT address, count(*) AS n_unspent, sum(value_zat)::BIGINT AS balance_zat FROM unspent GROUP BY address")
+def address_balance(led: Ledger) -> DataFrame:
+    return utxo.balances(_unspent(led))
+
+
+@query("SELECT txid, output_index, value_zat, height FROM unspent WHERE address = 0 AND height >= 3 ORDER BY height, txid, output_index LIMIT 20")
+def address_utxos_page(led: Ledger) -> DataFrame:
+    rows = led.outputs().where("address = 0")
+    left = utxo.unspent(rows, led.spends(), _visible(led), led.pinned, 3)
+    return utxo.page(left, 20).select("txid", "output_index", "value_zat", "height")
+
+
+@query("""SELECT txid, output_index, script_hash, value_zat, height FROM (
+  SELECT *, row_number() OVER (PARTITION BY address ORDER BY height, txid, output_index) AS r FROM unspent WHERE address IN (1, 2, 3)) WHERE r <= 25 ORDER BY height, txid, output_index, script_hash LIMIT 25""")
+def address_utxos_multi_topk(led: Ledger) -> DataFrame:
+    rows = led.outputs().where(F.col("address").isin(1, 2, 3))
+    named = led.spark.createDataFrame([(1,), (2,), (3,)], "a BIGINT").select(digest("a", F.col("a")).alias("script_hash"))
+    left = utxo.unspent(rows, led.spends(), _visible(led), led.pinned)
+    return utxo.for_addresses(left, named, 25).select("txid", "output_index", "script_hash", "value_zat", "height")
+
+
+@query("""SELECT o.txid, o.output_index, o.value_zat, min(s.height) AS spent_height FROM (SELECT DISTINCT txid, output_index, value_zat FROM outputs o JOIN visible v USING (height, block_hash) WHERE o.epoch <= (SELECT e FROM pin)) o
+JOIN spends s USING (txid, output_index) JOIN visible w ON w.height = s.height AND w.block_hash = s.block_hash WHERE s.epoch <= (SELECT e FROM pin) GROUP BY ALL""")
+def spent_outputs(led: Ledger) -> DataFrame:
+    return utxo.spent(led.outputs(), led.spends(), _visible(led), led.pinned).select("txid", "output_index", "value_zat", "spent_height")
+
+
+_MOVES = """, made AS (SELECT DISTINCT o.txid, o.output_index, o.address, o.value_zat, o.height FROM outputs o JOIN visible v USING (height, block_hash) WHERE o.epoch <= (SELECT e FROM pin)),
+gone AS (SELECT s.txid, s.output_index, min(s.height) AS height FROM spends s JOIN visible w ON w.height = s.height AND w.block_hash = s.block_hash WHERE s.epoch <= (SELECT e FROM pin) GROUP BY ALL),
+moves AS (SELECT address, height, sum(r)::BIGINT AS received_zat, sum(p)::BIGINT AS spent_zat FROM (
+  SELECT address, height, value_zat AS r, 0 AS p FROM made UNION ALL SELECT m.address, g.height, 0, m.value_zat FROM made m JOIN gone g USING (txid, output_index)) GROUP BY ALL)
+"""
+
+
+@query(_MOVES + "SELECT * FROM moves")
+def address_history(led: Ledger) -> DataFrame:
+    return utxo.history(led.outputs(), led.spends(), _visible(led), led.pinned)
+
+
+@query(_MOVES + "SELECT address, min(height) AS first_height, max(height) AS last_height, count(*) AS n_heights, sum(received_zat)::BIGINT AS received_zat, sum(spent_zat)::BIGINT AS spent_zat FROM moves GROUP BY address")
+def derive_address_activity(led: Ledger) -> DataFrame:
+    return derive.address_activity(utxo.history(led.outputs(), led.spends(), _visible(led), led.pinned))
+
+
+@query(_MOVES + "SELECT address, height, sum(received_zat - spent_zat) OVER (PARTITION BY address ORDER BY height)::BIGINT AS balance_zat FROM moves")
+def derive_running_balance(led: Ledger) -> DataFrame:
+    return derive.running_balance(utxo.history(led.outputs(), led.spends(), _visible(led), led.pinned))
+
+
+# tree sizes
+
+
+_SIZES = """, added AS (SELECT v.height, v.block_hash, coalesce(sum(o.value_zat % 4000), 0)::BIGINT AS sapling, count(o.txid) AS orchard FROM visible_last v LEFT JOIN outputs o ON o.height = v.height AND o.block_hash = v.block_hash GROUP BY ALL),
+sizes AS (SELECT height, sum(sapling) OVER (ORDER BY height)::BIGINT AS sapling, sum(orchard) OVER (ORDER BY height)::BIGINT AS orchard FROM added)
+"""
+
+
+def _added(led: Ledger) -> DataFrame:
+    visible = _visible(led, led.last_epoch)
+    sums = on_branch(led.outputs(), visible).groupBy("height").agg(F.sum(F.col("value_zat") % 4000).alias("sapling"), F.count("*").alias("orchard"))
+    return visible.select("height").join(sums, "height", "left").select("height", F.coalesce("sapling", F.lit(0)).alias("sapling"), F.coalesce("orchard", F.lit(0)).alias("orchard"))
+
+
+@query(_SIZES + "SELECT * FROM sizes")
+def tree_sizes_running(led: Ledger) -> DataFrame:
+    return derive.running_sums(_added(led), "height", ["sapling", "orchard"])
+
+
+@query(_SIZES + f"SELECT height, sapling // {SUBTREE_LEAVES} AS completed FROM sizes")
+def completed_subtrees(led: Ledger) -> DataFrame:
+    sizes = derive.running_sums(_added(led), "height", ["sapling", "orchard"])
+    return sizes.select("height", scalars.completed_subtrees(F.col("sapling")).alias("completed"))
+
+
+@query(_SIZES + f""", roots AS (SELECT unnest(range(0, (SELECT max(sapling) FROM sizes) // {SUBTREE_LEAVES})) AS subtree_index)
+SELECT r.subtree_index, min(s.height) AS completing_height FROM roots r JOIN sizes s ON s.sapling >= (r.subtree_index + 1) * {SUBTREE_LEAVES} WHERE r.subtree_index >= 2 GROUP BY r.subtree_index ORDER BY r.subtree_index LIMIT 1000""")
+def subtree_roots_page(led: Ledger) -> DataFrame:
+    sizes = derive.running_sums(_added(led), "height", ["sapling", "orchard"])
+    # the subtrees that a block completes: those between the sizes before and after it
+    before = sizes.select((F.col("height") + 1).alias("height"), F.col("sapling").alias("below"))
+    done = sizes.join(before, "height", "left").select("height", scalars.completed_subtrees(F.coalesce("below", F.lit(0))).alias("a"), scalars.completed_subtrees(F.col("sapling")).alias("b")).where("b > a")
+    roots = done.select(F.explode(F.sequence(F.col("a"), F.col("b") - 1)).alias("subtree_index"), F.col("height").alias("completing_height"))
+    return roots.where("subtree_index >= 2").orderBy("subtree_index").limit(1000)
+
+
+# change log
+
+
+_EVENTS = """, log AS (SELECT row_number() OVER (ORDER BY epoch) AS sequence, epoch, CASE WHEN kind = 'replace' THEN 'reorged' ELSE 'committed' END AS event_kind, start_height, tip_height AS end_height,
+  tip_height, tip_hash, finalized_height, 1774668500000 + epoch * 60000 AS created_at_millis FROM epochs)
+"""
+
+
+def _log(led: Ledger) -> DataFrame:
+    """One event for each epoch. Odd epochs 2g - 1 come from group g, the even ones between them from every fifth."""
+    sequence = F.floor((F.col("epoch") + 1) / 2) + F.floor(F.col("epoch") / 10) - F.when(F.col("epoch") % 10 == 0, 0).otherwise(0)
+    kind = F.when(F.col("kind") == "replace", "reorged").otherwise("committed")
+    return led.epochs().select(sequence.cast("bigint").alias("sequence"), "epoch", kind.alias("event_kind"), "start_height", F.col("tip_height").alias("end_height"), "tip_height", "tip_hash", "finalized_height", (F.lit(1774668500000) + F.col("epoch") * 60000).alias("created_at_millis"))
+
+
+@query(_EVENTS + "SELECT sequence, epoch, event_kind, start_height, end_height FROM log WHERE sequence > 3 ORDER BY sequence LIMIT 1000")
+def chain_event_history(led: Ledger) -> DataFrame:
+    return _log(led).where("sequence > 3").orderBy("sequence").limit(1000).select("sequence", "epoch", "event_kind", "start_height", "end_height")
+
+
+@query(_EVENTS + "SELECT sequence, epoch FROM log WHERE event_kind = 'committed' AND tip_height <= finalized_height + 100")
+def chain_events_finalized(led: Ledger) -> DataFrame:
+    settled = _log(led).withColumn("finalized_height", F.col("finalized_height") + 100)
+    return log.of_family(settled, "finalized").select("sequence", "epoch")
+
+
+@query(_EVENTS + """SELECT l.epoch, l.start_height, l.end_height, CASE WHEN event_kind = 'reorged' THEN l.start_height END AS reverted_start, CASE WHEN event_kind = 'reorged' THEN l.end_height END AS reverted_end FROM log l""")
+def event_ranges(led: Ledger) -> DataFrame:
+    reorged = F.col("event_kind") == "reorged"
+    return _log(led).select("epoch", "start_height", "end_height", F.when(reorged, F.col("start_height")).alias("reverted_start"), F.when(reorged, F.col("end_height")).alias("reverted_end"))
+
+
+@query(_EVENTS + "SELECT coalesce(min(CASE WHEN created_at_millis >= 1774668500000 + 600000 THEN sequence END), max(sequence)) AS floor_sequence FROM log")
+def retention_floor(led: Ledger) -> DataFrame:
+    return log.retention_floor(_log(led), 1774668500000 + 600000)
+
+
+@query(_EVENTS + """SELECT min(sequence) AS oldest, max(sequence) AS newest, max(sequence) - min(sequence) + 1 AS retained, (1774668500000 + 600000000 - min(created_at_millis)) // 3600000 AS age_hours,
+  (1774668500000 + 600000000 - min(created_at_millis)) / 3600000.0 > 144 AS at_risk FROM log""")
+def retention_report(led: Ledger) -> DataFrame:
+    return log.retention_report(_log(led), 1774668500000 + 600000000)
+
+
+@query("SELECT e AS writer_epoch, p AS reader_epoch, greatest(e - p, 0) AS lag, greatest(p - e, 0) AS ahead FROM (SELECT (SELECT e FROM last) AS e, (SELECT e FROM pin) AS p)")
+def epoch_lag(led: Ledger) -> DataFrame:
+    one = led.epochs().agg(F.max("epoch").alias("writer_epoch")).withColumn("reader_epoch", F.lit(led.pinned).cast("bigint"))
+    return one.select("writer_epoch", "reader_epoch", scalars.saturating_lag(F.col("writer_epoch"), F.col("reader_epoch")).alias("lag"), scalars.saturating_lag(F.col("reader_epoch"), F.col("writer_epoch")).alias("ahead"))
+
+
+@query("SELECT height, max(epoch) AS epoch, max_by(block_hash, epoch) AS block_hash FROM blocks GROUP BY height")
+def derive_replay_final_state(led: Ledger) -> DataFrame:
+    return log.replayed(_log(led), led.blocks()).select("height", "epoch", "block_hash")
+
+
+@query("""SELECT e.epoch, h.height FROM epochs e JOIN (SELECT DISTINCT height FROM heights) h ON h.height BETWEEN e.start_height AND e.tip_height WHERE NOT EXISTS (SELECT 1 FROM blocks b WHERE b.epoch = e.epoch AND b.height = h.height)""")
+def commit_coverage_diff(led: Ledger) -> DataFrame:
+    wanted = led.epochs().select("epoch", F.explode(F.sequence("start_height", "tip_height")).alias("height"))
+    return wanted.join(led.blocks(), ["epoch", "height"], "left_anti")
+
+
+# nested blocks: pools by line status, nullifiers by returned lines
+
+
+@query("""SELECT v.height, count(DISTINCT t.txid) AS n_txs, count(*) AS n_outputs FROM visible v JOIN outputs t ON t.height = v.height AND t.block_hash = v.block_hash WHERE t.address % 3 = 0 GROUP BY v.height""")
+def pool_filtered_txs(led: Ledger) -> DataFrame:
+    out = on_branch(led.outputs(), _visible(led))
+    tx = out.groupBy("height", "txid").agg(F.collect_list(F.struct("address", "output_index")).alias("notes"))
+    kept = tx.withColumn("notes", F.filter("notes", lambda n: n["address"] % 3 == 0)).where(F.size("notes") > 0)
+    return kept.groupBy("height").agg(F.count("*").alias("n_txs"), F.sum(F.size("notes")).alias("n_outputs"))
+
+
+@query("""SELECT w.height, count(*) AS n_nullifiers, min(sha256(s.txid || ':' || s.output_index)) AS first_nullifier FROM spends s JOIN visible w ON w.height = s.height AND w.block_hash = s.block_hash WHERE s.epoch <= (SELECT e FROM pin) GROUP BY w.height""")
+def block_nullifiers_only(led: Ledger) -> DataFrame:
+    gone = on_branch(led.spends().where(F.col("epoch") <= led.pinned), _visible(led))
+    return gone.groupBy("height").agg(F.count("*").alias("n_nullifiers"), F.min(digest(F.col("txid"), F.col("output_index"))).alias("first_nullifier"))
+
+
+@query("SELECT height, block_hash, string_agg(substr(block_hash, 63 - 2 * k, 2), '' ORDER BY k) AS shown FROM (SELECT height, block_hash, unnest(range(0, 32)) AS k FROM visible) GROUP BY ALL")
+def display_hashes(led: Ledger) -> DataFrame:
+    return _visible(led).select("height", "block_hash", scalars.display_hash(F.col("block_hash")).alias("shown"))
+
+
+# derived views
+
+
+@query("SELECT address, sum(value_zat)::BIGINT AS volume_zat, count(*) AS n_outputs FROM (SELECT DISTINCT o.* EXCLUDE (epoch) FROM outputs o JOIN visible_last v USING (height, block_hash)) GROUP BY address ORDER BY volume_zat DESC, address LIMIT 100")
+def derive_top_addresses(led: Ledger) -> DataFrame:
+    return derive.top_by_volume(on_branch(led.outputs(), _visible(led, led.last_epoch)))
+
+
+@query("SELECT length(CAST(value_zat AS VARCHAR)) AS digits, count(*) AS n_outputs, sum(value_zat)::BIGINT AS value_zat FROM outputs o JOIN visible_last v USING (height, block_hash) GROUP BY 1")
+def derive_value_histogram(led: Ledger) -> DataFrame:
+    return derive.value_histogram(on_branch(led.outputs(), _visible(led, led.last_epoch)))
+
+
+@query("SELECT date_trunc('month', t.placed_at) AS month_start, count(*) AS n_txs FROM txs t JOIN visible_last v USING (height, block_hash) GROUP BY 1")
+def derive_tx_timeseries(led: Ledger) -> DataFrame:
+    rows = on_branch(led.transactions(), _visible(led, led.last_epoch))
+    return rows.groupBy(F.date_trunc("month", "placed_at").alias("month_start")).agg(F.count("*").alias("n_txs"))
+
+
+@query("SELECT date_trunc('hour', ts) AS hour_start, event_type, count(*) AS n_events, round(sum(value), 4) AS value FROM events GROUP BY 1, 2", ledger=False)
+def derive_events_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive.per_hour(read(spark, sf_dir, "events"))
+
+
+@query("""WITH hourly AS (SELECT date_trunc('hour', ts) AS hour_start, count(*) AS n_events FROM events GROUP BY 1)
+SELECT h.hour_start, h.n_events, sum(g.n_events)::BIGINT AS n_rolling FROM hourly h JOIN hourly g ON g.hour_start <= h.hour_start AND g.hour_start > h.hour_start - INTERVAL 24 HOUR GROUP BY 1, 2""", ledger=False)
+def derive_rolling_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive.rolling(read(spark, sf_dir, "events"))
+
+
+@query("""WITH flagged AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM flagged)
+SELECT user_id, min(ts) AS session_start, count(*) AS n_events, round(sum(value), 4) AS value FROM numbered GROUP BY user_id, s""", ledger=False)
+def derive_session_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive.sessions(read(spark, sf_dir, "events"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.absent') IS NULL AS absent FROM events", ledger=False)
+def tree_state_json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    props = read(spark, sf_dir, "events")
+    return props.select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"), F.get_json_object("props", "$.absent").isNull().alias("absent"))
+
+
+@query("""SELECT event_type, CASE event_type WHEN 'view' THEN 0 WHEN 'error' THEN -22 WHEN 'click' THEN -27 WHEN 'signup' THEN -26 ELSE -1 END AS code, count(*) AS n FROM events GROUP BY ALL""", ledger=False)
+def broadcast_code_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcome = F.when(F.col("event_type") == "view", "accepted").when(F.col("event_type") == "error", "invalid_encoding").when(F.col("event_type") == "click", "duplicate").when(F.col("event_type") == "signup", "rejected").otherwise("unknown")
+    return read(spark, sf_dir, "events").groupBy("event_type", scalars.broadcast_code(outcome).alias("code")).agg(F.count("*").alias("n"))
+
+
+#: Queries that the bench times.
+HEADLINE = ["visible_blocks_at_epoch", "address_balance", "address_utxos", "spent_outputs", "transactions_by_id", "derive_replay_final_state", "parent_link_check", "commit_coverage_diff", "derive_top_addresses", "tree_sizes_running", "address_history", "derive_session_activity"]
