@@ -5,11 +5,14 @@ bins that stay empty after that are filled in rounds t to 2t - 1, where round t
 So each coordinate fills, and the share of equal coordinates of two sketches is concentrated about their similarity.
 
 Documents with one and the same set are one class, of which the least id stands for all. The sketches of classes are
-banded; two classes are candidates if a band agrees. Candidate pairs are never written out for a whole bucket: a round
-picks a few leaders for each bucket that still holds several components, verifies the other members against them on
-full sets, joins components, and takes the leaders out of the bucket. The number of leaders doubles from round to
-round, and rounds go on until no bucket holds two components, so no candidate pair between components is left out.
-With 32 bands of 4 rows a pair of similarity 0.8 is missed by the banding with a chance of 5 in 100 million.
+banded; two classes are candidates if a band agrees. Candidate pairs are never written out for a whole bucket. First
+each bucket's members are verified on full sets against one leader, the member that meets most others; that joins most
+copies. Buckets that still hold several components are then chained into clusters, and a cluster's sets are verified
+against each other in blocks of bounded size, by counting elements that they share; a block returns only links that
+join its sets, fewer than it has sets. So every candidate pair between components is verified.
+With 72 bands of 8 rows a pair of similarity 0.8 is missed by the banding with a chance of 2 in a million, one of 0.85 of
+4 in a thousand million, while pairs that share a passage (0.3 and less) seldom meet; sizes that rule a link out are
+sorted out before any set is fetched.
 
 Sets are sets of 64-bit hashes of shingles. Rows on a hot bucket or class meet through joins that Spark can split and
 through aggregates with partial sums.
@@ -31,6 +34,8 @@ from pyspark.sql.window import Window
 
 from ledgerloom.llm.common import SPACES, grams, mix, runs, stored, utf8, without, words
 
+#: Sets and shingles of a unit of verification, about; elements of at most so many sets are counted by their pairs.
+UNIT_SETS, UNIT_SHINGLES, FEW = 1_024, 2 << 20, 16
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
 _SETS = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
@@ -140,45 +145,115 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return common.where(F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent).select("a", "b")
 
 
+def linked_rows(keys: np.ndarray, rows: np.ndarray, n: int, percent: int) -> np.ndarray:
+    """For each of ``n`` sets the least set that links reach among them. Intersections of all pairs are counted by
+    element: elements of few sets by their pairs, the others by products of incidence matrices."""
+    _, column, count = np.unique(keys, return_inverse=True, return_counts=True)
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    begin = np.cumsum(count) - count
+    common = np.zeros(n * n, np.int32)
+    for d in range(2, FEW + 1):
+        own = begin[count == d]
+        if len(own):
+            members = rows[own[:, None] + np.arange(d)]
+            a, b = np.triu_indices(d, 1)
+            for at in range(0, len(own), 1 + (1 << 20) // len(a)):
+                part = members[at : at + 1 + (1 << 20) // len(a)]
+                common += np.bincount((np.minimum(part[:, a], part[:, b]) * n + np.maximum(part[:, a], part[:, b])).ravel(), minlength=n * n).astype(np.int32)
+    common = common.reshape(n, n)
+    common += common.T
+    many = np.flatnonzero(count > FEW)
+    for at in range(0, len(many), 1024):
+        part = many[at : at + 1024]
+        own = np.concatenate([rows[begin[c] : begin[c] + count[c]] for c in part])
+        table = np.zeros((n, len(part)), np.float32)
+        table[own, np.repeat(np.arange(len(part)), count[part])] = 1
+        common += (table @ table.T).astype(np.int32)
+    size = np.bincount(rows, minlength=n)
+    linked = common.astype(np.int64) * (100 + percent) >= (size[:, None] + size) * percent
+    np.fill_diagonal(linked, True)
+    label = np.arange(n)
+    while True:
+        low = np.where(linked, label, n).min(1)
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
+
+def verified_clusters(sets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the linked nodes of each cluster; ``placed`` has node and cluster. A cluster of many or
+    large sets is cut into blocks and each pair of blocks is a unit; small clusters share a unit."""
+    rows = stored(sets.join(placed.withColumnRenamed("node", "doc_id"), "doc_id"))
+    mass = F.sum(F.size("shingles").cast("bigint"))
+    total = rows.agg(mass).first()[0] or 0
+    units = max(8, -(-total // UNIT_SHINGLES))
+    blocks = rows.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / UNIT_SETS), F.ceil(mass / UNIT_SHINGLES)).cast("int").alias("blocks"))
+    cut = rows.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: (k != F.col("own")) | (F.col("blocks") == 1))
+    unit = F.when(F.col("blocks") == 1, F.struct(F.pmod(F.xxhash64("cluster"), F.lit(units)).alias("u"), F.lit(-1).alias("i"), F.lit(-1).alias("j"))).otherwise(F.struct(F.col("cluster").alias("u"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
+    dealt = cut.withColumn("other", F.explode(others)).withColumn("unit", unit).select("unit.u", "unit.i", "unit.j", "cluster", "doc_id", "shingles")
+
+    def verify(table: pa.Table) -> pa.Table:
+        ids, cluster = table.column("doc_id").to_numpy(), table.column("cluster").to_numpy()
+        lists = table.column("shingles").combine_chunks()
+        sizes = lists.value_lengths().to_numpy().astype(np.int64)
+        keys, ends = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(sizes)))
+        order = np.lexsort((ids, cluster))
+        cuts = np.flatnonzero(np.diff(cluster[order])) + 1
+        a, b = [], []
+        for members in np.split(order, cuts):
+            own = np.concatenate([keys[ends[k] : ends[k + 1]] for k in members])
+            label = linked_rows(own, np.repeat(np.arange(len(members)), sizes[members]), len(members), percent)
+            joined = np.flatnonzero(label != np.arange(len(members)))
+            a.append(ids[members[label[joined]]])
+            b.append(ids[members[joined]])
+        return pa.table([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    return dealt.groupBy("u", "i", "j").applyInArrow(verify, "a BIGINT, b BIGINT")
+
+
 def linked_classes(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame | None:
-    """(node, comp) over the representatives that have links; ``reps`` has doc_id and bands."""
-    entries = reps.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
+    """(node, comp) over the representatives that have links; ``reps`` has doc_id, n_shingles and bands."""
+    entries = reps.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("size"), F.explode("bands").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = stored(entries.join(shared, "key"))
     degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
-    members = stored(members.select("key", "node").join(degree, "node"))
+    members = stored(members.select("key", "node", "size").join(degree, "node"))
     nodes = members.select(F.col("node").alias("doc_id")).distinct()
     sets = stored(full_sets(docs.join(nodes, "doc_id", "left_semi"), size))
-    labels, leaders = None, 1
-    while True:
-        placed = members.withColumn("comp", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        spread = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-        active = stored(placed.join(spread, "key").select("key", "node", "degree", "comp"))
-        if active.isEmpty():
-            return labels
-        slot = F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(leaders))
-        chosen = stored(active.groupBy("key", slot.alias("slot")).agg(F.max_by(F.struct("node", "comp"), F.struct("degree", -F.col("node"))).alias("lead")).select("key", F.col("lead.node").alias("lead"), F.col("lead.comp").alias("lead_comp")))
-        pairs = active.join(chosen, "key").where("comp <> lead_comp").select(F.col("lead").alias("a"), F.col("node").alias("b"), F.col("lead_comp").alias("comp_a"), F.col("comp").alias("comp_b"))
-        pairs = stored(pairs.distinct())
-        good = verified(pairs.select("a", "b"), sets, percent).join(pairs, ["a", "b"]).select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
-        good = stored(good.distinct())
-        if not good.isEmpty():
-            joined = components(good)
-            labels = joined if labels is None else stored(
-                labels.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("now")), "comp", "left").select("node", F.coalesce("now", "comp").alias("comp"))
-                .unionByName(joined.join(labels, "node", "left_anti"))
-            )
-        members = active.join(chosen.select("key", F.col("lead").alias("node")), ["key", "node"], "left_anti").select("key", "node", "degree")
-        leaders *= 2
-
-
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    leader = members.groupBy("key").agg(F.max_by(F.struct("node", "size"), F.struct("degree", -F.col("node"))).alias("lead")).select("key", F.col("lead.node").alias("a"), F.col("lead.size").alias("lead_size"))
+    sizes_fit = F.least("size", "lead_size") * 100 >= F.greatest("size", "lead_size") * percent
+    pairs = stored(members.join(leader, "key").where((F.col("a") != F.col("node")) & sizes_fit).select("a", F.col("node").alias("b")).distinct())
+    labels = components(verified(pairs, sets, percent))
+    active = several_components(members, labels)
+    if active.isEmpty():
+        return labels
+    low = active.groupBy("key").agg(F.min("node").alias("low"))
+    clusters = components(active.join(low, "key").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()).select("node", F.col("comp").alias("cluster"))
+    found = verified_clusters(sets, clusters, percent)
+    named = labels.withColumnRenamed("comp", "name")
+    ends = found.join(named.withColumnsRenamed({"node": "a", "name": "name_a"}), "a", "left").join(named.withColumnsRenamed({"node": "b", "name": "name_b"}), "b", "left")
+    merged = components(ends.select(F.coalesce("name_a", "a").alias("a"), F.coalesce("name_b", "b").alias("b")).where("a <> b").distinct())
+    moved = labels.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("now")), "comp", "left").select("node", F.coalesce("now", "comp").alias("comp"))
+    return stored(moved.unionByName(merged.join(labels, "node", "left_anti")))
+
+
+def several_components(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members, with their component, of buckets that hold several components."""
+    placed = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    spread = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+    return stored(placed.join(spread, "key").select("key", "node"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 72, rows: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: the id, n_shingles, component_id (the least id that links reach) and kept (it is that document)."""
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     table = stored(sketch_documents(docs, size, bands, rows))
     known = table.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stored(known.groupBy("sig_a", "sig_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    reps = known.join(classes.select("sig_a", "sig_b", "n_shingles", F.col("rep").alias("doc_id")), ["sig_a", "sig_b", "n_shingles", "doc_id"], "left_semi").select("doc_id", "bands").distinct()
+    reps = known.join(classes.select("sig_a", "sig_b", "n_shingles", F.col("rep").alias("doc_id")), ["sig_a", "sig_b", "n_shingles", "doc_id"], "left_semi").select("doc_id", "n_shingles", "bands").distinct()
     labels = linked_classes(docs, reps, size, percent)
     named = classes.where("copies > 1").select("sig_a", "sig_b", "n_shingles", "rep")
     placed = table.select("doc_id", "n_shingles", "sig_a", "sig_b").join(named, ["sig_a", "sig_b", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("node"))
