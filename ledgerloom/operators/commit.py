@@ -115,7 +115,9 @@ def _check_monotone(new: Row, change: Change, current: Row | None, block: DataFr
 def _check_links(block: DataFrame, current: Row | None, blocks: DataFrame, start: int) -> None:
     """Each block's parent is the block below: in the commit, or visible at start - 1. The first commit's is free."""
     below = block.select((F.col("height") + 1).alias("height"), F.col("block_hash").alias("below_hash"))
-    if current is not None:
+    if current is not None and start == current["tip_height"] + 1:  # the tip may be a checkpoint without a block
+        below = below.unionByName(block.sparkSession.createDataFrame([(start, current["tip_hash"])], "height BIGINT, below_hash STRING"))
+    elif current is not None:
         base = visible_blocks(blocks.where(F.col("height") == start - 1), current["epoch"], current["tip_height"])
         below = below.unionByName(base.select((F.col("height") + 1).alias("height"), F.col("block_hash").alias("below_hash")))
     linked = block.join(below, "height", "left")
