@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     constant = shares.get(1, 0) / max(sum(shares.values()), 1) if shares else 0.5
     if len(shares) < 2:
         return Model({}, np.zeros((1, 2 * SIZE), np.float32), np.zeros(0), np.ones(0), [], 1.0, constant)
-    sample = stored(labelled_sample(docs, labels, id_col, text_col, label_col)).repartition(8, "id")
+    sample = stored(labelled_sample(docs, labels, id_col, text_col, label_col)).repartition(8)
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
