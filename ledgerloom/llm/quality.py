@@ -202,9 +202,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["label", "id", "x"])
 
     rows = sorted(sample.select("label", "text", F.xxhash64("id").alias("id")).mapInArrow(features, "label INT, id BIGINT, x BINARY").collect(), key=lambda r: (r["id"], r["x"]))
-    x, y = np.array([np.frombuffer(r["x"]) for r in rows]).reshape(len(rows), -1), np.array([r["label"] for r in rows], np.float64)
+    y = np.array([r["label"] for r in rows], np.float64)
     if not len(rows) or y.min() == y.max():
         return Model({}, np.zeros((1, 2 * SIZE), np.float32), np.zeros(0), np.ones(0), [], 1.0, constant)
+    x = np.stack([np.frombuffer(r["x"]) for r in rows])
     weight = np.where(y == 1, shares[1] / max(y.sum(), 1), shares[0] / max((1 - y).sum(), 1))
     weight *= len(y) / weight.sum()
     mean, scale = x.mean(0), x.std(0) + 1e-3
