@@ -4,7 +4,7 @@ A unit vector o, rotated by a random orthogonal matrix, is kept as the signs of
 two scalars: its length and the cosine c between o and its code. For a rotated unit query q the inner product with the
 code, divided by c, estimates that of q and o, and the error stays within EPSILON * sqrt((1 - c^2) / (c^2 (d - 1))) with
 a chance that falls as exp(-EPSILON^2 / 2). Each candidate has so a lower and an upper bound; those whose upper bound
-reaches the k-th largest lower bound are reranked by their exact inner product in double precision.
+reaches the k-th largest lower bound (a neighbour is lost only if both are off) are reranked by their exact inner product in double precision.
 
 Candidates form blocks of about ``BLOCK`` rows by hash, queries groups of about ``GROUP``; each block meets each group
 in one task, which returns the block's k best per query, and a last step keeps the k best of the blocks. Equal vectors
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Rows of a block of candidates and of a group of queries, about; width of the error bounds.
-BLOCK, GROUP, EPSILON = 16_384, 16_384, 4.5
+BLOCK, GROUP, EPSILON = 8_192, 16_384, 1.9
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
@@ -37,12 +37,20 @@ def rotation(d: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def packed_words(bits: np.ndarray) -> np.ndarray:
+    """Bits of each row in 64-bit words."""
+    out = np.zeros((len(bits), -(-bits.shape[1] // 64) * 8), np.uint8)
+    packed = np.packbits(bits, axis=1)
+    out[:, : packed.shape[1]] = packed
+    return out.view(np.uint64)
+
+
 def codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packed signs, lengths and the cosine of each rotated vector and its code."""
     d = x.shape[1]
     length = np.linalg.norm(x, axis=1)
     turned = (x / length[:, None]) @ rotation(d)
-    return np.packbits(turned > 0, axis=1), length, np.abs(turned).sum(1) / np.sqrt(d)
+    return packed_words(turned > 0), length, np.abs(turned).sum(1) / np.sqrt(d)
 
 
 def estimates(packed: np.ndarray, cosine: np.ndarray, queries: np.ndarray, bits: int = 8) -> tuple[np.ndarray, np.ndarray]:
@@ -52,12 +60,12 @@ def estimates(packed: np.ndarray, cosine: np.ndarray, queries: np.ndarray, bits:
     low, top = queries.min(1, keepdims=True), queries.max(1, keepdims=True)
     unit = np.maximum(top - low, 1e-12) / (2**bits - 1)
     level = np.rint((queries - low) / unit).astype(np.uint16)
-    ones = np.bitwise_count(packed).sum(1, dtype=np.int64)
-    total = np.zeros((len(queries), len(packed)), np.int64)
+    ones = np.bitwise_count(packed).sum(1, dtype=np.int32)
+    total = np.zeros((len(queries), len(packed)), np.int32)
     for b in range(bits):
-        plane = np.packbits((level >> b) & 1, axis=1)
+        plane = packed_words(((level >> b) & 1).astype(bool))
         for k in range(packed.shape[1]):
-            total += np.bitwise_count(plane[:, k, None] & packed[None, :, k]).astype(np.int64) << b
+            total += np.bitwise_count(plane[:, k, None] & packed[None, :, k]).astype(np.int32) << b
     # the code is (2 bit - 1) / sqrt(d), the query low + unit * level
     inner = 2 * (low * ones + unit * total) - (low * d + unit * level.sum(1, keepdims=True, dtype=np.int64))
     lost = unit * np.sqrt(d) / 2  # by quantising the query, at most
@@ -93,17 +101,20 @@ def best_in_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries
         lower = middle - half
         need = min(k + 1, lower.shape[1])  # one more, as a query may meet itself
         limit = np.partition(lower, lower.shape[1] - need, axis=1)[:, lower.shape[1] - need]
-        row, at = np.nonzero(middle + half >= limit[:, None])
-        score = exact(q[row], own[at])
-        take = np.minimum(size[at], k + 1)  # of a class, its k + 1 least ids suffice
-        row, at, score = np.repeat(row, take), np.repeat(first[at], take) + np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take), np.repeat(score, take)
-        other = ids[at] != q_ids[row]
-        row, at, score = row[other], at[other], score[other]
-        order = np.lexsort((ids[at], -score, row))
-        row, at, score = row[order], at[order], score[order]
-        rank = np.arange(len(row)) - np.searchsorted(row, row)
-        kept = rank < k
-        out.append((q_ids[row[kept]], ids[at[kept]], score[kept]))
+        for r in range(len(q)):
+            near = np.flatnonzero(middle[r] + half[r] >= limit[r])
+            rough = own[near] @ q[r]
+            place = max(len(rough) - need, 0)
+            last = np.partition(rough, place)[place]
+            near = near[rough >= last - 1e-9 * (1 + abs(last))]  # sums in another order differ by far less
+            score = exact(np.broadcast_to(q[r], (len(near), len(q[r]))), own[near])
+            take = np.minimum(size[near], k + 1)  # of a class, its k + 1 least ids suffice
+            at = np.repeat(first[near], take) + np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
+            score = np.repeat(score, take)
+            other = ids[at] != q_ids[r]
+            at, score = at[other], score[other]
+            best = np.lexsort((ids[at], -score))[:k]
+            out.append((np.full(len(best), q_ids[r]), ids[at[best]], score[best]))
     return tuple(np.concatenate([o[c] for o in out]) if out else np.zeros(0) for c in range(3))  # type: ignore[return-value]
 
 
@@ -122,8 +133,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
     blocks, groups = -(-counts[0] // BLOCK) or 1, -(-counts[1] // GROUP) or 1
     # blocks and groups are cut by hash; each side is repeated for the numbers of the other
     block, group = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups))
-    candidates = usable.select("vec_id", "x", F.size("x").alias("d"), block.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
-    queries = usable.where(is_query).select("vec_id", "x", F.size("x").alias("d"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), group.alias("g"))
+    candidates = usable.select("vec_id", "x", F.size("x").alias("d"), block.cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
+    queries = usable.where(is_query).select("vec_id", "x", F.size("x").alias("d"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), group.cast("int").alias("g"))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
