@@ -106,7 +106,7 @@ def parse(html: str) -> Page:
         if tag in HIDDEN or tag in RAW or (tag not in VOID and "hidden" in m[3] and _HIDE.search(m[3])) or ("display" in m[3] and _HIDE.search(m[3])):
             if tag in VOID or m[3].endswith("/"):
                 continue
-            if tag not in INLINE:
+            if tag not in INLINE and tag not in HIDDEN and tag not in RAW:
                 flush()
             lowered = html.lower() if lowered is None else lowered
             at = after(lowered, tag, at)
