@@ -148,6 +148,19 @@ def words(data: np.ndarray, offsets: np.ndarray, ends_word: np.ndarray) -> tuple
     return mix(h + (stop - start).astype(np.uint64)), np.searchsorted(start, offsets).astype(np.int64)
 
 
+def words_by_runs(data: np.ndarray, offsets: np.ndarray, ends_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``words`` for rows of any size together, worked out in bounded runs."""
+    hashes, firsts, seen, a = [], [], 0, 0
+    while a < len(offsets) - 1:
+        b = max(int(np.searchsorted(offsets, offsets[a] + RUN_BYTES, "right")) - 1, a + 1)
+        b = min(b, len(offsets) - 1)
+        h, first = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], ends_word)
+        hashes.append(h)
+        firsts.append(first[:-1] + seen)
+        seen, a = seen + len(h), b
+    return np.concatenate([np.zeros(0, np.uint64), *hashes]), np.concatenate([*firsts, np.full(1, seen, np.int64)])
+
+
 def grams(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``n`` words inside a row, in order, and the index of each row's first one."""
     counts = np.maximum(np.diff(first) - n + 1, 0)

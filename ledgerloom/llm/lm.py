@@ -27,11 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import SPACES, mix, offsets_of, stored, utf8, words
+from ledgerloom.llm.common import SPACES, mix, offsets_of, stored, utf8, words_by_runs
 from ledgerloom.llm.quality import held_out
 
 #: Bytes of text of a chunk, about; one of so many training documents (by crc32) is deleted for the mixture weights.
-CHUNK_BYTES, DELETED_OF = 8 << 20, 16
+CHUNK_BYTES, DELETED_OF = 4 << 20, 16
 #: Frequency classes of contexts (powers of two), classes of estimates by which held-out events are gathered.
 CLASSES, LEVELS = 32, 48
 _END, _START = np.uint64(0x5EED5EED5EED5EED), np.uint64(0xB0B0B0B0B0B0B0B1)
@@ -119,7 +119,7 @@ class Grams:
 
     def __init__(self, row: dict, order: int, buckets: int):
         data, ends = np.frombuffer(_open.decompress(row["texts"]), np.uint8), unpack(row["ends"], "<i8")
-        h, first = words(data, ends, SPACES)
+        h, first = words_by_runs(data, ends, SPACES)
         self.kinds = np.frombuffer(row["kinds"], np.uint8)
         docs = len(self.kinds)
         self.first = first + np.arange(docs + 1)  # each document has its end token, too
@@ -163,7 +163,8 @@ class Grams:
 def send(order: int, buckets: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 grams = Grams(row, order, buckets)
                 for size in range(1, order + 1):
                     counts = grams.counts(size, 1)
