@@ -21,10 +21,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ledgerloom.llm.common import runs
+from ledgerloom.llm.common import in_batches, runs
 
-#: Words that a worker's table keeps; a full table starts anew.
-KEPT = 500_000
+#: Words that a task's table keeps; a full table starts anew.
+KEPT = 300_000
+#: Answers about pairs of tokens that a worker's encoder keeps.
+PAIRS = 100_000
 #: A vocabulary file goes to every executor; larger ones are refused.
 MOST_VOCABULARY_BYTES = 64 << 20
 
@@ -88,7 +90,7 @@ class TrieEncoder:
     def neighbours(self, left: str, right: str) -> bool:
         found = self.fits.get((left, right))
         if found is None:
-            if len(self.fits) > 4 * KEPT:
+            if len(self.fits) > PAIRS:
                 self.fits.clear()
             found = self.merged(self.symbols(left) + self.symbols(right)) == [left, right]
             self.fits[left, right] = found
@@ -204,16 +206,17 @@ def plain_words(text: str) -> list[str]:
     return (_LATIN_WORDS if _LATIN.fullmatch(text) else _WORDS).findall(text)
 
 
-_ENCODERS: dict[tuple[type, int], Encoder] = {}
+_KINDS: dict[tuple[type, int], object] = {}
 
 
-def worker_encoder(vocabulary: str, kind: type) -> Encoder:
-    """The encoder of this Python worker, whose tables later tasks of the worker use again."""
+def task_encoder(vocabulary: str, kind: type) -> Encoder:
+    """An encoder with tables of its own, which go when the task ends; what is built from the vocabulary stays with the
+    Python worker for later tasks."""
     key = (kind, hash(vocabulary))
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(vocabulary, kind(vocabulary).encode)
-    return _ENCODERS[key]
+    if key not in _KINDS:
+        _KINDS.clear()
+        _KINDS[key] = kind(vocabulary)
+    return Encoder(vocabulary, _KINDS[key].encode)
 
 
 def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,7 +225,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_i
     schema = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(vocabulary.value, TrieEncoder)
+        encoder = task_encoder(vocabulary.value, TrieEncoder)
         for batch in batches:
             for a, b in runs(batch.column(1)):
                 counts, ids, texts = [], [], []
@@ -233,4 +236,4 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_i
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts, pa.int64()), pa.array(ids), pa.array(texts)], schema=schema)
 
     picked = docs.selectExpr(f"CAST({id_col} AS BIGINT) AS id", f"CAST({text_col} AS STRING) AS text")
-    return picked.mapInArrow(digests, "id BIGINT, n_tokens BIGINT, ids_sha256 STRING, decoded_sha256 STRING").withColumnRenamed("id", id_col)
+    return in_batches(picked).mapInArrow(digests, "id BIGINT, n_tokens BIGINT, ids_sha256 STRING, decoded_sha256 STRING").withColumnRenamed("id", id_col)

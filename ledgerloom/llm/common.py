@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step takes at once (a longer document is a run of its own).
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
+#: Rows and bytes of an Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,7 +34,21 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _at(spark.read.schema(df.schema).parquet(path), path)
+
+
+def _at(df: DataFrame, path: str | None) -> DataFrame:
+    df.stored_at = path
+    return df
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables that ``stored`` has written and that nothing will read again."""
+    for df in tables:
+        if df is not None and (path := getattr(df, "stored_at", None)):
+            spark = df.sparkSession
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def runs(column: pa.Array, limit: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
@@ -48,6 +64,17 @@ def runs(column: pa.Array, limit: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
         a = b
 
 
+def in_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session that sends Python at most ``BATCH_ROWS`` rows and ``BATCH_BYTES`` bytes at once: rows with whole
+    texts are large, and both sides hold a batch."""
+    conf = df.sparkSession.conf
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(f"spark.sql.execution.arrow.{key}", "0")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+    return df
+
+
 def kept_rows(docs: DataFrame, text_col: str, decider: Callable[[], Callable[[list[str | None]], np.ndarray]]) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text the decision of ``decider()`` keeps. The decision is
     made on batches of whole texts where the rows are; nothing is shuffled."""
@@ -60,7 +87,7 @@ def kept_rows(docs: DataFrame, text_col: str, decider: Callable[[], Callable[[li
                 part = batch.slice(a, b - a)
                 yield part.filter(pa.array(decide(part.column(at).to_pylist()), pa.bool_()))
 
-    return docs.mapInArrow(work, docs.schema)
+    return in_batches(docs).mapInArrow(work, docs.schema)
 
 
 def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:

@@ -6,7 +6,7 @@ each other on one axis, with gaps that no phrase bridges). Terms that no test it
 are left out. A search takes the windows of the test items, orders the terms of each by the length of their lists in
 the shard, starts from the rarest term's list, and keeps a start only if each further list, moved by the term's
 offset, has it. With ``slack`` 0 that is the exact phrase; with more, each term may stand up to so many words away
-from its place (a proximity match). No list leaves its shard, so no shuffle and no skew arise.
+from its place after the start (a proximity match), and the words of a match are those up to ``slack`` around it. No list leaves its shard, so no shuffle and no skew arise.
 
 Defined cases: a null or empty text, or one without a word, has no words and no hits; null or repeated item ids count
 as they stand (null ids are left out of the list of ids); repeated documents give repeated rows; an empty test table
@@ -15,15 +15,16 @@ finds nothing; other columns do not matter.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import NOT_ALNUM, runs, stored, utf8, without, words
+from ledgerloom.llm.common import NOT_ALNUM, discard, in_batches, runs, stored, utf8, without, words
 
 #: Test items are searched in blocks of at most so many bytes of text; more items make more passes over the index.
 BLOCK_BYTES = 1 << 20
@@ -38,6 +39,9 @@ FOUND = "doc_id BIGINT, n_words BIGINT, n_hit BIGINT, items ARRAY<STRING>"
 _FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string()))])
 
 
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
 class Windows(NamedTuple):
     """Distinct windows of a block of test items: ``terms`` is the sorted vocabulary (hashes); ``at`` has a row of
     term numbers for each window, filled up with -1; the items of window w are ``items[ends[w]:ends[w + 1]]``."""
@@ -98,7 +102,8 @@ def build_index(docs: DataFrame, terms: np.ndarray | None, gap: int, id_col: str
                 made = [batch.column(0).slice(a, b - a).to_pylist(), counts, own.view(np.int64), sizes, steps, [], [], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(made, _SHARD.types, strict=True)], schema=_SHARD)
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(shards, SHARD)
+    picked = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return in_batches(picked).mapInArrow(shards, SHARD)
 
 
 def occurrences(w: Windows, terms: np.ndarray, sizes: np.ndarray, axis: np.ndarray, slack: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,6 +126,8 @@ def occurrences(w: Windows, terms: np.ndarray, sizes: np.ndarray, axis: np.ndarr
     row = np.repeat(np.arange(len(live)), n)
     at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[rarest], n)
     start = axis[at] - order[row, 0]
+    if slack:  # the rarest term itself may stand away from its place, too
+        row, start = np.repeat(row, 2 * slack + 1), (start[:, None] + np.arange(-slack, slack + 1)).ravel()
     room = int(axis.max()) + 2 * (w.at.shape[1] + slack) + 2
     keyed = np.repeat(terms, sizes) * room + axis
     for k in range(1, w.at.shape[1]):
@@ -133,9 +140,9 @@ def occurrences(w: Windows, terms: np.ndarray, sizes: np.ndarray, axis: np.ndarr
     return start, live[row]
 
 
-def search(index: DataFrame, windows: Windows, gap: int, slack: int = 0) -> DataFrame:
-    """The index with the hits of a block of windows added to each shard: ranges of its axis, documents and items."""
-    block = index.sparkSession.sparkContext.broadcast(windows)
+def search(block: Broadcast, gap: int, slack: int = 0) -> Step:
+    """A step over index batches that adds the hits of a block of windows to each shard: ranges of its axis, documents
+    and items."""
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = block.value
@@ -160,11 +167,11 @@ def search(index: DataFrame, windows: Windows, gap: int, slack: int = 0) -> Data
                 made = shard[:5] + [pa.concat_arrays([old, pa.array(new, old.type)]) for old, new in zip(shard[5:], added, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in made], schema=_SHARD)
 
-    return index.mapInArrow(hits, SHARD)
+    return hits
 
 
-def matches(index: DataFrame, gap: int) -> DataFrame:
-    """Per document its words, the words inside hits and the items found."""
+def matches(gap: int) -> Step:
+    """A step that tells for each document of the shards its words, the words inside hits and the items found."""
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,7 +188,7 @@ def matches(index: DataFrame, gap: int) -> DataFrame:
                     items[d].add(i)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(counts), pa.array(inside[ends] - inside[ends - counts], pa.int64()), pa.array([[*x] for x in items], pa.list_(pa.string()))], schema=_FOUND_ARROW)
 
-    return index.mapInArrow(documents, FOUND)
+    return documents
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, slack: int = 0, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -196,9 +203,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, slack:
             vocabulary = np.union1d(vocabulary, block.terms)
             vocabulary = vocabulary if len(vocabulary) <= VOCABULARY_TERMS else None
     index = stored(build_index(docs, vocabulary, gap, id_col, text_col))
-    for k, block in enumerate(item_blocks(benchmark, width, item_id_col, item_text_col)):
-        index = search(index if k == 0 else stored(index), block, gap, slack)
-    return matches(index, gap).select(
+    tell = matches(gap)
+    for k, windows in enumerate(item_blocks(benchmark, width, item_id_col, item_text_col)):
+        step = search(docs.sparkSession.sparkContext.broadcast(windows), gap, slack)
+        if k < blocks - 1:
+            older, index = index, stored(index.mapInArrow(step, SHARD))
+            discard(older)
+    found = stored(index.mapInArrow(lambda batches: tell(step(batches)), FOUND))
+    discard(index)
+    return found.select(
         F.col("doc_id").alias(id_col), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import gbt
-from ledgerloom.llm.common import runs
+from ledgerloom.llm.common import in_batches, runs
 from ledgerloom.llm.dom import AGAINST_SETS, FOR, KIND_OF, KINDS, Page, parse
 
 #: Pages that the grammar writes for the fit.
@@ -272,4 +272,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=_SCHEMA)
 
     picked = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return picked.mapInArrow(work, "page_id BIGINT, url STRING, text STRING, n_chars BIGINT").withColumnsRenamed({"page_id": id_col, "url": url_col})
+    return in_batches(picked).mapInArrow(work, "page_id BIGINT, url STRING, text STRING, n_chars BIGINT").withColumnsRenamed({"page_id": id_col, "url": url_col})

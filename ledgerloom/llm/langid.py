@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import kept_rows, runs
+from ledgerloom.llm.common import in_batches, kept_rows, runs
 from ledgerloom.llm.quality import held_out
 
 #: Labelled rows that windows are taken from, windows of a row at most, words of a window; frequent words a language
-#: lists; words whose label chances a worker keeps.
-SAMPLE, WINDOWS, LENGTH, LISTED, KEPT = 2_000, 4, 24, 300, 400_000
+#: lists; words whose label scores a task keeps.
+SAMPLE, WINDOWS, LENGTH, LISTED, KEPT = 2_000, 4, 24, 300, 200_000
 #: Words between two splits of a long text.
 CHUNK = 32
 
@@ -192,7 +192,7 @@ def label_chances(field: Field, emit: np.ndarray, first: np.ndarray) -> np.ndarr
 
 
 class Labeller:
-    """Label chances of whole texts; a worker keeps the scores of words it has met, up to a bound."""
+    """Label chances of whole texts; a task keeps the scores of words it has met, up to a bound."""
 
     def __init__(self, field: Field):
         self.field = field
@@ -246,7 +246,7 @@ def training_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str)
                 out += [(lang, seed, " ".join(found[p * LENGTH : (p + 1) * LENGTH])) for p in places if found]
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string()))], ["lang", "seed", "words"])
 
-    rows = chosen.mapInArrow(cut, "lang STRING, seed BIGINT, words STRING").orderBy("lang", "seed", "words").limit(2 * SAMPLE * WINDOWS).collect()
+    rows = in_batches(chosen).mapInArrow(cut, "lang STRING, seed BIGINT, words STRING").orderBy("lang", "seed", "words").limit(2 * SAMPLE * WINDOWS).collect()
     return [(r["lang"], r["words"].split(" ")) for r in rows]
 
 

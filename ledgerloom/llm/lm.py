@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import SPACES, mix, offsets_of, stored, utf8, words_by_runs
+from ledgerloom.llm.common import SPACES, discard, in_batches, mix, offsets_of, stored, utf8, words_by_runs
 from ledgerloom.llm.quality import held_out
 
 #: Bytes of text of a chunk, about; one of so many training documents (by crc32) is deleted for the mixture weights.
@@ -111,7 +111,7 @@ def chunk_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for gone in (True, False):
             yield from flush(gone)
 
-    return picked.mapInArrow(work, CHUNK)
+    return in_batches(picked).mapInArrow(work, CHUNK)
 
 
 class Grams:
@@ -295,5 +295,6 @@ def score(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text_col: str
         made = [own["ids"], grams.kinds, np.diff(grams.first), np.add.reduceat((counts[0] > 0).astype(np.int64), at), base, np.add.reduceat(np.log10(mixed), at)]
         return pa.table([pa.array(c, t) for c, t in zip(made, _SCORED.types, strict=True)], schema=_SCORED)
 
-    out = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, "id BIGINT, kind INT, n_tokens BIGINT, n_known BIGINT, base_score DOUBLE, score DOUBLE")
+    out = stored(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, "id BIGINT, kind INT, n_tokens BIGINT, n_known BIGINT, base_score DOUBLE, score DOUBLE"))
+    discard(chunks, answers)
     return out.select(F.col("id").alias(id_col), (F.col("kind") == 0).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.llm.common import SPACES, grams, mix, runs, stored, utf8, without, words
+from ledgerloom.llm.common import SPACES, _at, discard, grams, in_batches, mix, runs, stored, utf8, without, words
 
 #: Sets and shingles of a unit of verification, about; elements of at most so many sets are counted by their pairs.
 UNIT_SETS, UNIT_SHINGLES, FEW = 1_024, 2 << 20, 16
@@ -107,7 +107,7 @@ def sketch_documents(docs: DataFrame, size: int, bands: int, rows: int) -> DataF
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1) * bands, pa.int32()), pa.array(key.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts, pa.int64()), pa.array(signs[0]), pa.array(signs[1]), flat], schema=_SKETCH)
 
-    return docs.mapInArrow(work, "doc_id BIGINT, n_shingles BIGINT, sig_a BIGINT, sig_b BIGINT, bands ARRAY<BIGINT>")
+    return in_batches(docs).mapInArrow(work, "doc_id BIGINT, n_shingles BIGINT, sig_a BIGINT, sig_b BIGINT, bands ARRAY<BIGINT>")
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -117,7 +117,7 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
                 g, begin = shingle_sets(batch.column(1).slice(a, b - a), size)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(g.view(np.int64)))], schema=_SETS)
 
-    return docs.mapInArrow(work, "doc_id BIGINT, shingles ARRAY<BIGINT>")
+    return in_batches(docs).mapInArrow(work, "doc_id BIGINT, shingles ARRAY<BIGINT>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -130,8 +130,10 @@ def components(edges: DataFrame) -> DataFrame:
         sunk = labels.join(low.withColumnRenamed("a", "node"), "node").select("node", F.col("comp").alias("was"), F.least("comp", "low").alias("comp"))
         jump = sunk.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
         moved = stored(sunk.join(jump, "comp", "left").select("node", "was", F.least("comp", F.coalesce("far", "comp")).alias("comp")))
-        labels = moved.select("node", "comp")
+        discard(labels)
+        labels = _at(moved.select("node", "comp"), moved.stored_at)
         if not moved.where("comp <> was").limit(1).count():
+            discard(both)
             return labels
 
 
@@ -211,16 +213,19 @@ def verified_clusters(sets: DataFrame, placed: DataFrame, percent: int) -> DataF
             b.append(ids[members[joined]])
         return pa.table([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    return dealt.groupBy("u", "i", "j").applyInArrow(verify, "a BIGINT, b BIGINT")
+    found = stored(dealt.groupBy("u", "i", "j").applyInArrow(verify, "a BIGINT, b BIGINT"))
+    discard(rows)
+    return found
 
 
 def linked_classes(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame | None:
     """(node, comp) over the representatives that have links; ``reps`` has doc_id, n_shingles and bands."""
     entries = reps.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("size"), F.explode("bands").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = stored(entries.join(shared, "key"))
-    degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
-    members = stored(members.select("key", "node", "size").join(degree, "node"))
+    met = stored(entries.join(shared, "key"))
+    degree = met.groupBy("node").agg(F.sum("n").alias("degree"))
+    members = stored(met.select("key", "node", "size").join(degree, "node"))
+    discard(met)
     nodes = members.select(F.col("node").alias("doc_id")).distinct()
     sets = stored(full_sets(docs.join(nodes, "doc_id", "left_semi"), size))
     leader = members.groupBy("key").agg(F.max_by(F.struct("node", "size"), F.struct("degree", -F.col("node"))).alias("lead")).select("key", F.col("lead.node").alias("a"), F.col("lead.size").alias("lead_size"))
@@ -228,16 +233,20 @@ def linked_classes(docs: DataFrame, reps: DataFrame, size: int, percent: int) ->
     pairs = stored(members.join(leader, "key").where((F.col("a") != F.col("node")) & sizes_fit).select("a", F.col("node").alias("b")).distinct())
     labels = components(verified(pairs, sets, percent))
     active = several_components(members, labels)
+    discard(pairs, members)
     if active.isEmpty():
+        discard(sets, active)
         return labels
     low = active.groupBy("key").agg(F.min("node").alias("low"))
-    clusters = components(active.join(low, "key").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()).select("node", F.col("comp").alias("cluster"))
-    found = verified_clusters(sets, clusters, percent)
+    clusters = components(active.join(low, "key").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct())
+    found = verified_clusters(sets, clusters.withColumnRenamed("comp", "cluster"), percent)
     named = labels.withColumnRenamed("comp", "name")
     ends = found.join(named.withColumnsRenamed({"node": "a", "name": "name_a"}), "a", "left").join(named.withColumnsRenamed({"node": "b", "name": "name_b"}), "b", "left")
     merged = components(ends.select(F.coalesce("name_a", "a").alias("a"), F.coalesce("name_b", "b").alias("b")).where("a <> b").distinct())
     moved = labels.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("now")), "comp", "left").select("node", F.coalesce("now", "comp").alias("comp"))
-    return stored(moved.unionByName(merged.join(labels, "node", "left_anti")))
+    out = stored(moved.unionByName(merged.join(labels, "node", "left_anti")))
+    discard(labels, sets, active, clusters, found, merged)
+    return out
 
 
 def several_components(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -260,7 +269,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     if labels is not None:
         placed = placed.join(labels, "node", "left").withColumn("node", F.coalesce("comp", "node"))
     component = F.when(F.col("doc_id").isNotNull(), F.col("node"))
-    return placed.select(F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = stored(placed.select(F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")))
+    discard(table, classes, labels)
+    return out
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

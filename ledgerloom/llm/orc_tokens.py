@@ -6,7 +6,7 @@ prunes files and stripes by their statistics and row groups by the row index and
 read in parallel. Columns: doc_id, part (the file's place in the order), local_start (ids of the part before the
 document), n_tokens, ids. A document's place among all ids is local_start and the totals of the parts before it.
 
-A worker asks the library only for words that it has not met (a table of bounded size keeps the others): words are
+A task asks the library only for words that it has not met (a table of bounded size keeps the others): words are
 joined by a blank, which the vocabulary drops, and the last token of a word ends with the mark of a word's end.
 
 Defined cases: a null or empty text has the end id alone; a null id comes first; rows that repeat an id stand in the
@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ledgerloom.llm.bpe import WORD_END, vocabulary_text, worker_encoder
-from ledgerloom.llm.common import runs, shared_folder
+from ledgerloom.llm.bpe import WORD_END, vocabulary_text, task_encoder
+from ledgerloom.llm.common import in_batches, runs, shared_folder
 
 #: Rows of a row group, bytes of a stripe, false positives of the Bloom filters.
 ROW_GROUP, STRIPE_BYTES, FALSE_POSITIVES = 1_000, 16 << 20, 0.01
@@ -69,7 +69,7 @@ def encoded(docs: DataFrame, vocabulary_path: str, end_id: int, id_col: str, tex
     tail = np.uint32(end_id).tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, total = worker_encoder(vocabulary.value, LibraryEncoder), 0
+        encoder, total = task_encoder(vocabulary.value, LibraryEncoder), 0
         for batch in batches:
             for a, b in runs(batch.column(1)):
                 raw = [ids + tail for ids, _ in encoder.encode(batch.column(1).slice(a, b - a).to_pylist(), decode=False)]
@@ -82,7 +82,7 @@ def encoded(docs: DataFrame, vocabulary_path: str, end_id: int, id_col: str, tex
     picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = [partitions] if partitions else []
     ordered = picked.repartitionByRange(*parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(work, "doc_id BIGINT, local_start BIGINT, n_tokens BIGINT, ids ARRAY<INT>")
+    return in_batches(ordered).mapInArrow(work, "doc_id BIGINT, local_start BIGINT, n_tokens BIGINT, ids ARRAY<INT>")
 
 
 def write(docs: DataFrame, path: str, vocabulary_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -112,7 +112,7 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     placed = stored.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
-    return placed.mapInArrow(work, "doc_id BIGINT, start BIGINT, n_tokens BIGINT, ids_crc32 BIGINT")
+    return in_batches(placed).mapInArrow(work, "doc_id BIGINT, start BIGINT, n_tokens BIGINT, ids_crc32 BIGINT")
 
 
 def write_and_digest(docs: DataFrame, vocabulary_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import kept_rows, runs, stored
+from ledgerloom.llm.common import discard, kept_rows, runs, stored
 
 #: Labelled rows that the model is fitted on, at most; terms that get vectors of their own, at most, and from how many
 #: documents of the sample on; size of the vectors, places of an index vector, words to either side.
@@ -160,7 +160,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     constant = shares.get(1, 0) / max(sum(shares.values()), 1) if shares else 0.5
     if len(shares) < 2:
         return Model({}, np.zeros((1, 2 * SIZE), np.float32), np.zeros(0), np.ones(0), [], 1.0, constant)
-    sample = stored(labelled_sample(docs, labels, id_col, text_col, label_col)).repartition(8)
+    chosen = stored(labelled_sample(docs, labels, id_col, text_col, label_col))
+    sample = chosen.repartition(8)
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
@@ -202,6 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["label", "id", "x"])
 
     rows = sorted(sample.select("label", "text", F.xxhash64("id").alias("id")).mapInArrow(features, "label INT, id BIGINT, x BINARY").collect(), key=lambda r: (r["id"], r["x"]))
+    discard(chosen)
     y = np.array([r["label"] for r in rows], np.float64)
     if not len(rows) or y.min() == y.max():
         return Model({}, np.zeros((1, 2 * SIZE), np.float32), np.zeros(0), np.ones(0), [], 1.0, constant)
