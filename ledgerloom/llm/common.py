@@ -69,7 +69,7 @@ def in_batches(df: DataFrame) -> DataFrame:
     texts are large, and both sides hold a batch."""
     conf = df.sparkSession.conf
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        now = conf.get(f"spark.sql.execution.arrow.{key}", "0")
+        now = conf.get(f"spark.sql.execution.arrow.{key}")
         if not (now.isdigit() and 0 < int(now) <= most):
             conf.set(f"spark.sql.execution.arrow.{key}", str(most))
     return df
