@@ -25,7 +25,8 @@ KIND_OF = {tag: k for k, tags in enumerate(KINDS.values()) for tag in tags.split
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"(?:\b|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _TOKEN = re.compile(r"[a-z]+")
-_HIDE = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none", re.I)
+_NAMED = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_DECLARED = re.compile(r"(?:^|;)\s*display\s*:\s*([^;!]*?)\s*(!\s*important\s*)?(?=;|$)")
 
 
 class Page:
@@ -55,6 +56,20 @@ def attribute_tokens(attributes: str) -> str:
     return " ".join(_TOKEN.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", " ".join(a or b or c for _, a, b, c in _ATTRIBUTE.findall(attributes))).lower()))
 
 
+def hides(attributes: str) -> bool:
+    """Whether an element is hidden by an attribute ``hidden`` of its own or by ``display: none`` in its style."""
+    attributes = attributes.lower()
+    if "hidden" not in attributes and "display" not in attributes:
+        return False
+    own: dict[str, str] = {}
+    for name, *values in _NAMED.findall(attributes):
+        own.setdefault(name, "".join(values))  # the first of a name counts
+    if own.get("hidden", "false").strip() != "false":
+        return True
+    shown = _DECLARED.findall(entities.unescape(own.get("style", "")))
+    return bool(shown) and next((v for v, important in reversed(shown) if important), shown[-1][0]) == "none"
+
+
 def parse(html: str) -> Page:
     page = Page()
     stack: list[tuple[str, int]] = [("#root", page.add("#root", -1))]  # inline elements stand on it without a node
@@ -103,7 +118,7 @@ def parse(html: str) -> Page:
                 if found:
                     close(found)
             continue
-        if tag in HIDDEN or tag in RAW or (tag not in VOID and "hidden" in m[3] and _HIDE.search(m[3])) or ("display" in m[3] and _HIDE.search(m[3])):
+        if tag in HIDDEN or tag in RAW or (m[3] and hides(m[3])):
             if tag in VOID or m[3].endswith("/"):
                 continue
             if tag not in INLINE and tag not in HIDDEN and tag not in RAW:

@@ -71,6 +71,22 @@ def test_parsing():
     assert page.texts[-1] == "deep" and all(p < k for k, p in enumerate(page.parents))
 
 
+@pytest.mark.parametrize("shown", ['class="overflow-hidden"', "class=hidden-print", 'style="overflow:hidden"', 'aria-hidden="true"', 'data-hidden="1"', 'title="a hidden thing"', 'data-x="display:none"', 'style="--display:none"', 'style="display:none;display:block"', 'hidden="false"', "onclick=show('hidden')"])
+def test_words_of_attributes_hide_nothing(shown):
+    assert blocks(f"<div {shown}>a<p>b</p></div>c") == ["a", "b", "c"]
+    assert blocks(f"<p>a <span {shown}>b</span> c") == ["a b c"]
+
+
+@pytest.mark.parametrize("hidden", ["hidden", "HIDDEN", 'class="x"hidden', "hidden=''", 'hidden="until-found"', "hidden id=x", "style='color:red; DISPLAY : none'", 'style="display:none !important;display:block"', "style=display:none"])
+def test_own_attributes_hide(hidden):
+    assert blocks(f"<div {hidden}>a<p>b</p></div>c") == ["c"]
+
+
+def test_main_text_with_words_of_hiding(model):
+    page = '<body style="overflow:hidden"><article class="overflow-hidden"><h1>Title</h1><p>The first paragraph, with <a href="/the-hidden-cost">a few</a> words.</p><p aria-hidden="true">Second one; it has some more words, too.</p></article></body>'
+    assert html.main_texts([page], model) == ["Title\nThe first paragraph, with a few words.\nSecond one; it has some more words, too."]
+
+
 def test_decoding_is_consistent_and_best():
     draw = np.random.default_rng(0)
     for _ in range(50):
