@@ -8,12 +8,19 @@ import re
 # Fixed values of HTML: elements without end tag, inline elements, elements whose content is not text of the page,
 # elements whose content is read up to their end tag, and what an opening tag ends.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-HIDDEN = frozenset("head script style template noscript iframe object svg math canvas audio video select button textarea datalist".split())
-RAW = frozenset("script style textarea title xmp noscript iframe template".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em embed font i img ins kbd label mark noscript object param q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE |= frozenset("math annotation annotation-xml maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
+HIDDEN = frozenset("head template svg canvas audio video select button datalist".split())
+RAW = frozenset("script style textarea title xmp iframe".split())
+#: Elements that a head may hold: any other one, or text, ends a head whose end tag is omitted.
+IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
+#: Inline elements that begin with white space.
+SPACED = frozenset("br mtr mtd annotation".split())
+#: Inline elements that end with their end tag even when blocks inside them are open.
+ENCLOSING = frozenset("math noscript object".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 #: Elements inside which an open item, cell or paragraph of an outer element stays open.
-SCOPES = frozenset("ul ol dl table body html article section div aside nav header footer main form blockquote td th figure".split())
+SCOPES = frozenset("ul ol dl table body html article section div aside nav header footer main form blockquote td th figure object".split()) | HIDDEN
 
 #: Kinds of tags, by what authors use them for; and words in class, id and role that speak for or against main text.
 KINDS = {"root": "html body #root", "main": "article main", "nav": "nav menu", "aside": "aside", "header": "header hgroup", "footer": "footer address", "form": "form fieldset dialog", "section": "section div center", "paragraph": "p pre blockquote", "heading": "h1 h2 h3 h4 h5 h6", "list": "ul ol dl", "item": "li dt dd", "table": "table thead tbody tfoot tr td th caption", "figure": "figure figcaption details summary", "text": "#text"}
@@ -28,6 +35,8 @@ _TOKEN = re.compile(r"[a-z]+")
 _NAMED = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _DECLARED = re.compile(r"(?:^|;)\s*display\s*:\s*([^;!]*?)\s*(!\s*important\s*)?(?=;|$)")
 
+_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in RAW}
+
 
 class Page:
     """Nodes in page order; the parent of each comes before it. A text block is a node of tag ``#text``."""
@@ -72,10 +81,11 @@ def hides(attributes: str) -> bool:
 
 def parse(html: str) -> Page:
     page = Page()
-    stack: list[tuple[str, int]] = [("#root", page.add("#root", -1))]  # inline elements stand on it without a node
+    # inline elements stand on the stack as -1, hidden blocks as -2, both without a node
+    stack: list[tuple[str, int]] = [("#root", page.add("#root", -1))]
     pending: list[str] = []
     in_link, linked, at, n = 0, 0, 0, len(html)
-    lowered = None
+    hidden = 0  # where on the stack the outermost hidden element is
 
     def flush() -> None:
         nonlocal linked
@@ -90,18 +100,25 @@ def parse(html: str) -> Page:
         linked = 0
 
     def close(k: int) -> None:
-        nonlocal in_link
+        nonlocal in_link, hidden
+        if any(node >= 0 for _, node in stack[k:]):
+            flush()
         for tag, _ in stack[k:]:
             in_link -= tag == "a"
         del stack[k:]
+        if k <= hidden:
+            hidden = 0
 
     while at < n:
         m = _TAG.search(html, at)
         text = html[at : m.start()] if m else html[at:]
         if text:
-            pending.append(text)
-            if in_link:
-                linked += len(text)
+            if hidden and stack[-1][0] == "head" and not text.isspace():
+                close(len(stack) - 1)
+            if not hidden:
+                pending.append(text)
+                if in_link:
+                    linked += len(text)
         if not m:
             break
         at = m.end()
@@ -111,58 +128,55 @@ def parse(html: str) -> Page:
         if m[1]:
             found = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
             if tag in INLINE:  # an inline end tag does not reach out of its block
-                if found and all(k < 0 for _, k in stack[found:]):
+                if found and (tag in ENCLOSING or all(k == -1 for _, k in stack[found:])):
                     close(found)
             else:
-                flush()
+                if not hidden:
+                    flush()
                 if found:
                     close(found)
             continue
-        if tag in HIDDEN or tag in RAW or (m[3] and hides(m[3])):
-            if tag in VOID or m[3].endswith("/"):
-                continue
-            if tag not in INLINE and tag not in HIDDEN and tag not in RAW:
-                flush()
-            lowered = html.lower() if lowered is None else lowered
-            at = after(lowered, tag, at)
+        if hidden and stack[hidden][0] == "head" and (tag == "body" or (hidden == len(stack) - 1 and tag not in IN_HEAD)):
+            close(hidden)
+        if tag in RAW:
+            if not m[3].endswith("/"):
+                at = after(html, tag, at)
             continue
+        gone = tag in HIDDEN or (m[3] and hides(m[3]))
         if tag in INLINE:
-            if tag == "br":
+            if tag in SPACED and not hidden and not gone:
                 pending.append(" ")
-            elif tag not in VOID and not m[3].endswith("/"):
+            if tag not in VOID and not m[3].endswith("/"):
+                if gone and not hidden:
+                    hidden = len(stack)
                 stack.append((tag, -1))
                 in_link += tag == "a"
             continue
-        flush()
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] == "p" or stack[k][0] in CLOSES.get(tag, ()):
-                close(k)
-                if tag not in CLOSES:
+        if gone and (tag in VOID or m[3].endswith("/")) or (hidden and stack[hidden][0] == "svg" and m[3].endswith("/")):
+            continue
+        if tag not in HIDDEN:
+            if not hidden:
+                flush()
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k][0] == "p" or stack[k][0] in CLOSES.get(tag, ()):
+                    close(k)
+                    if tag not in CLOSES:
+                        break
+                elif stack[k][0] in SCOPES and stack[k][0] not in CLOSES.get(tag, ()):
                     break
-            elif stack[k][0] in SCOPES and stack[k][0] not in CLOSES.get(tag, ()):
-                break
         if tag in VOID:
             continue
+        if hidden or gone:
+            hidden = hidden or len(stack)
+            stack.append((tag, -2))
+            continue
         node = page.add(tag, next(k for _, k in reversed(stack) if k >= 0), attribute_tokens(m[3]) if m[3] else "")
         stack.append((tag, node))
     flush()
     return page
 
 
-def after(lowered: str, tag: str, at: int) -> int:
-    """Where the element that was opened just before ``at`` has ended; elements of its name inside it count."""
-    depth, n = 1, len(lowered)
-    while at < n:
-        end = lowered.find("</" + tag, at)
-        if end < 0:
-            return n if tag != "head" else min((x for x in (lowered.find("<body", at),) if x >= 0), default=at)
-        if tag not in RAW:
-            inner = lowered.find("<" + tag, at, end)
-            while inner >= 0:
-                depth += lowered[inner + len(tag) + 1 : inner + len(tag) + 2] in (" ", ">", "\n", "\t", "/")
-                inner = lowered.find("<" + tag, inner + 1, end)
-        depth -= 1
-        at = lowered.find(">", end) + 1 or n
-        if depth <= 0:
-            return at
-    return n
+def after(html: str, tag: str, at: int) -> int:
+    """Where the element of raw content that was opened just before ``at`` has ended: after its end tag, by whole name."""
+    end = _ENDS[tag].search(html, at)
+    return end.end() if end else len(html)

@@ -87,6 +87,47 @@ def test_main_text_with_words_of_hiding(model):
     assert html.main_texts([page], model) == ["Title\nThe first paragraph, with a few words.\nSecond one; it has some more words, too."]
 
 
+CUTS = [
+    # end tags by whole name; a head without end tag
+    ("<html><head><title>T</title><meta x><body>a<header>b</header>c", ["a", "b", "c"]),
+    ("<head><title>T</title><link x><p>a</p><header>b</header>", ["a", "b"]),
+    ("<head><title>T</title> a<header>b</header>", ["a", "b"]),
+    ("<head><noscript><style>s</style></noscript><header>a</header></head>b", ["a", "b"]),
+    ("<p hidden>a<pre>b</pre>c", ["b", "c"]),
+    ("<a hidden>a<article>b</article></a>c", ["c"]),
+    ("<a hidden>a</a>b<article>c</article>d", ["b", "c", "d"]),
+    ("<script>'</scripts>'</script>a", ["a"]),
+    # hidden elements without end tag
+    ("<ul><li hidden>a<li>b<li>c</ul>d", ["b", "c", "d"]),
+    ("<ul><li hidden>a<ul><li>b</ul>c<li>d</ul>e", ["d", "e"]),
+    ("<div><p hidden>a</div>b<p>c", ["b", "c"]),
+    ("<div>x<p hidden>a<p>b<p hidden>c<div>d</div></div>e", ["x", "b", "d", "e"]),
+    ("<table><tr hidden><td>a<tr><td>b<td hidden>c<td>d</table>e", ["b", "d", "e"]),
+    ("<p>a<span hidden>b</p>c", ["a", "c"]),
+    ("<div hidden>a<div>b</div>c</div>d", ["d"]),
+    ("<section hidden>a<p>b</section>c", ["c"]),
+    ("<p>a<button>b</button> c<svg><g><path d=x><title>t</title></g></svg> d</p>e", ["a c d", "e"]),
+    ("<ul><li>a<button>b<li>c</ul>d", ["a", "d"]),
+    ("<p>a<svg><svg/><text>b</text></svg>c", ["ac"]),
+    ("<p>a<span hidden>b<i>c</i></span>d<b>e</b>", ["ade"]),
+    ("<template><div>a</div><template>b</template>c</template>d", ["d"]),
+    # formulas and fallback
+    ("<p>If <math><mi>x</mi><mo>=</mo><mn>1</mn></math> then<math><mtr><mtd>1</mtd><mtd>2</mtd></mtr></math>.", ["If x=1 then 1 2."]),
+    ("<p>a <object data=x><param name=y>b <i>c</i></object> d</p>", ["a b c d"]),
+    ("<object><p>a</object>b<noscript><div>c<p>d</noscript>e", ["a", "b", "c", "d", "e"]),
+]
+
+
+@pytest.mark.parametrize("page,want", CUTS)
+def test_nothing_else_is_cut(page, want):
+    assert blocks(page) == want
+
+
+def test_main_text_after_omitted_end_tags(model):
+    page = f"<html><head><title>T</title><body>{BEFORE}<article><ul><li hidden>None</ul>{MAIN}</article>{AFTER}"
+    assert html.main_texts([page], model) == [WANT]
+
+
 def test_decoding_is_consistent_and_best():
     draw = np.random.default_rng(0)
     for _ in range(50):
