@@ -9,8 +9,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ledgerloom.functions import scalars
+from ledgerloom.functions import compact, scalars
 from ledgerloom.operators import derive, utxo
 from ledgerloom.operators.visibility import as_of, common_ancestor, missing_heights, on_branch, parent_links, valid_intervals, visible_blocks
 from ledgerloom.plans.projection import LEDGER_SQL, Ledger, digest
@@ -137,6 +138,14 @@ def tx_by_block_index(led: Ledger) -> DataFrame:
     return rows.withColumn("tx_index", F.row_number().over(order) - 1).where("tx_index < 2").select("height", "txid", F.col("tx_index").cast("bigint").alias("tx_index"))
 
 
+@query("""SELECT t.height, t.txid, row_number() OVER (PARTITION BY t.height ORDER BY t.order_key) - 1 AS tx_index FROM txs t JOIN visible v ON v.height = t.height AND v.block_hash = t.block_hash""")
+def tx_by_block_index_all(led: Ledger) -> DataFrame:
+    """The index of every visible transaction in its block."""
+    order = Window.partitionBy("height").orderBy("order_key")
+    rows = on_branch(led.transactions(), _visible(led))
+    return rows.select("height", "txid", (F.row_number().over(order) - 1).cast("bigint").alias("tx_index"))
+
+
 @query("""SELECT DISTINCT t.txid, t.height FROM txs t WHERE NOT EXISTS (SELECT 1 FROM txs u JOIN visible_last v ON v.height = u.height AND v.block_hash = u.block_hash WHERE u.txid = t.txid)""")
 def orphaned_txs(led: Ledger) -> DataFrame:
     seen = on_branch(led.transactions(), _visible(led, led.last_epoch)).select("txid")
@@ -317,6 +326,22 @@ def pool_filtered_txs(led: Ledger) -> DataFrame:
     return kept.groupBy("height").agg(F.count("*").alias("n_txs"), F.sum(F.size("notes")).alias("n_outputs"))
 
 
+@query("""SELECT t.height, CASE l.l_linestatus WHEN 'O' THEN 'orchard' ELSE 'sapling' END AS pool, count(DISTINCT t.txid) AS n_txs, count(*) AS n_outputs
+FROM visible v JOIN txs t ON t.height = v.height AND t.block_hash = v.block_hash JOIN lineitem l ON l.l_orderkey = t.order_key GROUP BY ALL""")
+def pool_filtered_txs_all(led: Ledger) -> DataFrame:
+    """What each pool's selection leaves of every visible block: transactions and outputs. Open lines are orchard actions,
+    the others sapling outputs."""
+    lines = read(led.spark, led.sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_key"), F.coalesce(F.col("l_linestatus") == "O", F.lit(False)).alias("orchard"), F.struct(F.col("l_suppkey").alias("address")).alias("note"))
+    notes = on_branch(led.transactions(), _visible(led)).join(lines, "order_key")
+    tx = notes.groupBy("height", "txid").agg(F.collect_list(F.when(~F.col("orchard"), F.col("note"))).alias("outputs"), F.collect_list(F.when(F.col("orchard"), F.col("note"))).alias("actions"))
+    none = F.slice("outputs", 1, 0)
+    blocks = tx.groupBy("height").agg(F.collect_list(F.struct("txid", "outputs", "actions", none.alias("spends"), none.alias("vin"), none.alias("vout"))).alias("vtx"))
+    pools = F.array(*[F.struct(F.lit(pool).alias("pool"), compact.prune(F.col("vtx"), [pool]).alias("vtx")) for pool in ("sapling", "orchard")])
+    kept = blocks.select("height", F.explode(pools).alias("of")).select("height", "of.pool", "of.vtx").where(F.size("vtx") > 0)
+    size = F.aggregate("vtx", F.lit(0).cast("bigint"), lambda n, one: n + F.size(one["outputs"]) + F.size(one["actions"]))
+    return kept.select("height", "pool", F.size("vtx").cast("bigint").alias("n_txs"), size.alias("n_outputs"))
+
+
 @query("""SELECT w.height, count(*) AS n_nullifiers, min(sha256(s.txid || ':' || s.output_index)) AS first_nullifier FROM spends s JOIN visible w ON w.height = s.height AND w.block_hash = s.block_hash WHERE s.epoch <= (SELECT e FROM pin) GROUP BY w.height""")
 def block_nullifiers_only(led: Ledger) -> DataFrame:
     gone = on_branch(led.spends().where(F.col("epoch") <= led.pinned), _visible(led))
