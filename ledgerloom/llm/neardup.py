@@ -30,7 +30,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ledgerloom.llm.common import SPACES, _at, discard, grams, in_batches, mix, runs, stored, utf8, without, words
 
@@ -275,11 +274,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each near-duplicate component: that of the least id, one row if rows repeat the id."""
-    found = near_duplicates(docs, size, percent, id_col=id_col, text_col=text_col)
-    rest = without(docs, found.where(~F.col("kept")).select(id_col), id_col)
-    again = stored(docs.groupBy(id_col).count().where("count > 1").select(id_col))
-    once = without(rest, again, id_col)
-    own = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col)
-    repeated = rest.where(F.col(id_col).isNotNull()).join(again, id_col, "left_semi").withColumn("_nth", F.row_number().over(own)).where("_nth = 1").select(docs.columns)
-    return once.unionByName(repeated)
+    """``docs`` with one row of each near-duplicate component: that of the least id. Rows that repeat an id are documents of
+    their own here, so that a text goes only if a row of its component stays; rows without words are one for each id."""
+    again = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
+    if again.isEmpty():
+        found = near_duplicates(docs, size, percent, id_col=id_col, text_col=text_col)
+        return without(docs, found.where(~F.col("kept")).select(id_col), id_col)
+    rows = stored(docs.where(F.col(id_col).isNotNull()).withColumn("_row", F.monotonically_increasing_id()))
+    found = near_duplicates(rows, size, percent, id_col="_row", text_col=text_col)
+    place = rows.select("_row", F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash")).join(found, "_row")
+    filled = F.col("n_shingles") > 0
+    least = place.groupBy(F.when(filled, F.col("component_id")).alias("_component"), F.when(~filled, F.col("_id")).alias("_empty")).agg(F.min(F.struct("_id", "_hash", "_row")).alias("_least"))
+    kept = rows.join(stored(least.select("_least._row")), "_row", "left_semi").select(docs.columns)
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))

@@ -96,3 +96,12 @@ def test_defined_cases(spark):
     assert neardup.near_duplicates(docs.limit(0), 4).count() == 0
     once = neardup.keep_one(docs.unionByName(docs).unionByName(nulls))
     assert once.columns == docs.columns and sorted(str(r["doc_id"]) for r in once.collect()) == ["0", "1", "2", "None", "None", "None"]
+
+
+def test_rows_that_repeat_an_id_with_other_texts(spark):
+    x, y, z = prose(11, 80), prose(12, 80), prose(13, 80)
+    near = edited(x, 1, 3)
+    rows = [(3, x), (5, x), (5, y), (7, y), (8, z), (8, near), (9, z), (9, ""), (9, None), (None, x)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    kept = [(r["doc_id"], r["text"] or "") for r in neardup.keep_one(docs).collect()]
+    assert sorted(kept, key=repr) == sorted([(3, x), (5, y), (8, z), (9, ""), (None, x)], key=repr)
