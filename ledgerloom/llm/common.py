@@ -18,10 +18,13 @@ BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; in local mode, a temporary one where that is
+    unset. A cluster without it is an error, as its machines share no temporary folder."""
     conf = spark.sparkContext.getConf()
     base = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="ledgerloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     if not spark.sparkContext.getCheckpointDir():
@@ -75,6 +78,14 @@ def in_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def kept_rows(docs: DataFrame, text_col: str, decider: Callable[[], Callable[[list[str | None]], np.ndarray]]) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text the decision of ``decider()`` keeps. The decision is
     made on batches of whole texts where the rows are; nothing is shuffled."""
@@ -152,40 +163,53 @@ _LOWER[0x41:0x5B] += 32
 def words(data: np.ndarray, offsets: np.ndarray, ends_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words of all rows, A-Z lower-cased, as 64-bit hashes in order, and for each row the index of its first word
     (with one index more for the end). A hash stands for its word: among a thousand million different words, any two
-    share one with a chance of 3 %."""
-    rows = len(offsets) - 1
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
+    share one with a chance of 3 %. Bytes are taken in pieces of ``RUN_BYTES``, wherever rows and words end, so that a
+    row of any length costs a few bytes for each of its words besides its text."""
+    raw: list[np.ndarray] = []  # hashes before the last mix
+    sizes: list[np.ndarray] = []
+    starts: list[np.ndarray] = []
+    open_word: tuple[int, int, int] | None = None  # hash, size and start of a word that the next piece may go on with
+    for a in range(0, len(data), RUN_BYTES):
+        b = min(a + RUN_BYTES, len(data))
+        low, high = np.searchsorted(offsets, (a, b))
+        h, size, start = _piece(data[a:b], offsets[low:high] - a, ends_word)
+        start += a
+        if open_word is not None:
+            if len(start) and start[0] == a and offsets[low] != a:
+                had, n, begun = open_word
+                h[0] = np.uint64((had + pow(_BASE, n, 1 << 64) * int(h[0])) % (1 << 64))
+                size[0] += n
+                start[0] = begun
+            else:
+                raw, sizes, starts = [*raw, np.array([open_word[0]], np.uint64)], [*sizes, np.array([open_word[1]])], [*starts, np.array([open_word[2]])]
+        open_word = None
+        if b < len(data) and len(start) and start[-1] + size[-1] == b:
+            open_word = int(h[-1]), int(size[-1]), int(start[-1])
+            h, size, start = h[:-1], size[:-1], start[:-1]
+        raw.append(h)
+        sizes.append(size)
+        starts.append(start)
+    if not raw:
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    return mix(np.concatenate(raw) + (np.concatenate(sizes) - 1).astype(np.uint64)), np.searchsorted(np.concatenate(starts), offsets).astype(np.int64)
+
+
+def _piece(data: np.ndarray, cuts: np.ndarray, ends_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash (before the last mix), size and start of each word of a piece; rows begin at ``cuts``."""
     inside = ~ends_word[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()
     last[:-1] &= ~inside[1:]
-    full = np.diff(offsets) > 0
-    a, b = offsets[:-1][full], offsets[1:][full] - 1
-    first[a] = inside[a]
-    last[b] = inside[b]
+    first[cuts] = inside[cuts]
+    before_cut = cuts[cuts > 0] - 1
+    last[before_cut] = inside[before_cut]
     start, stop = np.flatnonzero(first), np.flatnonzero(last)
     up, down = _powers(len(data))
     total = np.cumsum(_BYTE[_LOWER[data]] * up[: len(data)], dtype=np.uint64)
-    h = total[stop]
     before = total[start - 1]
     before[start == 0] = 0
-    h = (h - before) * down[start]
-    return mix(h + (stop - start).astype(np.uint64)), np.searchsorted(start, offsets).astype(np.int64)
-
-
-def words_by_runs(data: np.ndarray, offsets: np.ndarray, ends_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``words`` for rows of any size together, worked out in bounded runs."""
-    hashes, firsts, seen, a = [], [], 0, 0
-    while a < len(offsets) - 1:
-        b = max(int(np.searchsorted(offsets, offsets[a] + RUN_BYTES, "right")) - 1, a + 1)
-        b = min(b, len(offsets) - 1)
-        h, first = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], ends_word)
-        hashes.append(h)
-        firsts.append(first[:-1] + seen)
-        seen, a = seen + len(h), b
-    return np.concatenate([np.zeros(0, np.uint64), *hashes]), np.concatenate([*firsts, np.full(1, seen, np.int64)])
+    return (total[stop] - before) * down[start], stop - start + 1, start
 
 
 def grams(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

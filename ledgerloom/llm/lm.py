@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import SPACES, discard, in_batches, mix, offsets_of, stored, utf8, words_by_runs
+from ledgerloom.llm.common import SPACES, discard, in_batches, mix, offsets_of, stored, utf8, words
 from ledgerloom.llm.quality import held_out
 
 #: Bytes of text of a chunk, about; one of so many training documents (by crc32) is deleted for the mixture weights.
@@ -119,7 +119,7 @@ class Grams:
 
     def __init__(self, row: dict, order: int, buckets: int):
         data, ends = np.frombuffer(_open.decompress(row["texts"]), np.uint8), unpack(row["ends"], "<i8")
-        h, first = words_by_runs(data, ends, SPACES)
+        h, first = words(data, ends, SPACES)
         self.kinds = np.frombuffer(row["kinds"], np.uint8)
         docs = len(self.kinds)
         self.first = first + np.arange(docs + 1)  # each document has its end token, too

@@ -5,17 +5,18 @@ bins that stay empty after that are filled in rounds t to 2t - 1, where round t
 So each coordinate fills, and the share of equal coordinates of two sketches is concentrated about their similarity.
 
 Documents with one and the same set are one class, of which the least id stands for all. The sketches of classes are
-banded; two classes are candidates if a band agrees. Candidate pairs are never written out for a whole bucket. First
-each bucket's members are verified on full sets against one leader, the member that meets most others; that joins most
-copies. Buckets that still hold several components are then chained into clusters, and a cluster's sets are verified
-against each other in blocks of bounded size, by counting elements that they share; a block returns only links that
-join its sets, fewer than it has sets. So every candidate pair between components is verified.
+banded; two classes are candidates if a band agrees. Candidate pairs are never written out for a whole bucket. In a
+round each bucket has one leader, and each class is verified on full sets against one leader only, the one that meets
+most others; so a round has no more pairs than classes. Rounds go on with the buckets that hold several components.
+What they leave is chained into clusters, and a cluster's sets are verified against each other in blocks of bounded
+size, by counting elements that they share; a block returns only links that join its sets, fewer than it has sets. So
+every candidate pair between components is verified.
 With 72 bands of 8 rows a pair of similarity 0.8 is missed by the banding with a chance of 2 in a million, one of 0.85 of
 4 in a thousand million, while pairs that share a passage (0.3 and less) seldom meet; sizes that rule a link out are
 sorted out before any set is fetched.
 
-Sets are sets of 64-bit hashes of shingles. Rows on a hot bucket or class meet through joins that Spark can split and
-through aggregates with partial sums.
+Sets are sets of 64-bit hashes of shingles. Rows of a hot bucket or leader are salted, so that no task meets them all;
+rows of a hot class meet through joins that Spark can split; counts are aggregates with partial sums.
 
 Defined cases: a null or empty text, or one without words, has an empty set, is its own component and is kept; a row
 whose id is null is its own component with a null id and is kept; rows that repeat an id are one document for links;
@@ -31,10 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import SPACES, _at, discard, grams, in_batches, mix, runs, stored, utf8, without, words
+from ledgerloom.llm.common import SPACES, _at, discard, free_name, grams, in_batches, mix, runs, stored, utf8, without, words
 
 #: Sets and shingles of a unit of verification, about; elements of at most so many sets are counted by their pairs.
 UNIT_SETS, UNIT_SHINGLES, FEW = 1_024, 2 << 20, 16
+#: Rows of a key that one task may meet, about. Rounds of leaders: at most so many, and no more after one that leaves over
+#: this share of the nodes in buckets of several components; what is left is verified in blocks, so no link depends on them.
+HOT, ROUNDS, FRUITFUL = 1_024, 4, 0.7
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
 _SETS = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
@@ -136,12 +140,24 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def salted(rows: DataFrame, counts: DataFrame, key: str, by: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with ``salt`` and ``salts`` (the number of salts of the row's ``key``), and ``counts`` (key, n) with a row for
+    each salt: a join on key and salt then meets at most about ``HOT`` rows of a key in one task. Keys of more rows are so
+    few that their table is written first; Spark sends it to the rows if its size allows that."""
+    hot = stored(counts.where(F.col("n") > HOT).select(key, F.ceil(F.col("n") / HOT).cast("int").alias("salts")))
+    dealt = rows.join(hot, key, "left").withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("salt", F.pmod(F.xxhash64(by), F.col("salts")).cast("int"))
+    return dealt, counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / HOT).cast("int") - 1)))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have at least ``percent`` of a hundred of their union in common."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a"))
+    """The pairs (a, b) whose sets have at least ``percent`` of a hundred of their union in common; ``a`` may be in any
+    number of pairs."""
+    counts = stored(pairs.groupBy("a").agg(F.count("*").alias("n")))
+    dealt, of_salts = salted(pairs, counts, "a", "b")
+    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a")).join(of_salts, "a").select("a", "salt", "of_a")
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b"))
     n_a, n_b = F.size("of_a"), F.size("of_b")
-    joined = pairs.join(right, "b").join(left, "a").where((n_a * 100 >= n_b * percent) & (n_b * 100 >= n_a * percent))
+    joined = dealt.join(right, "b").join(left, ["a", "salt"]).where((n_a * 100 >= n_b * percent) & (n_b * 100 >= n_a * percent))
     common = joined.select("a", "b", n_a.alias("n_a"), n_b.alias("n_b"), F.size(F.array_intersect("of_a", "of_b")).alias("common"))
     return common.where(F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent).select("a", "b")
 
@@ -217,42 +233,85 @@ def verified_clusters(sets: DataFrame, placed: DataFrame, percent: int) -> DataF
     return found
 
 
-def linked_classes(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame | None:
-    """(node, comp) over the representatives that have links; ``reps`` has doc_id, n_shingles and bands."""
+def in_shared_buckets(reps: DataFrame) -> DataFrame:
+    """(node, size, degree, buckets) of representatives that share a bucket; ``buckets`` are those, as (key, salt, salts);
+    ``degree`` is the sum of their sizes."""
     entries = reps.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("size"), F.explode("bands").alias("key"))
-    shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = stored(entries.join(shared, "key"))
-    degree = met.groupBy("node").agg(F.sum("n").alias("degree"))
-    members = stored(met.select("key", "node", "size").join(degree, "node"))
-    discard(met)
-    nodes = members.select(F.col("node").alias("doc_id")).distinct()
-    sets = stored(full_sets(docs.join(nodes, "doc_id", "left_semi"), size))
-    leader = members.groupBy("key").agg(F.max_by(F.struct("node", "size"), F.struct("degree", -F.col("node"))).alias("lead")).select("key", F.col("lead.node").alias("a"), F.col("lead.size").alias("lead_size"))
-    sizes_fit = F.least("size", "lead_size") * 100 >= F.greatest("size", "lead_size") * percent
-    pairs = stored(members.join(leader, "key").where((F.col("a") != F.col("node")) & sizes_fit).select("a", F.col("node").alias("b")).distinct())
-    labels = components(verified(pairs, sets, percent))
-    active = several_components(members, labels)
-    discard(pairs, members)
-    if active.isEmpty():
-        discard(sets, active)
-        return labels
-    low = active.groupBy("key").agg(F.min("node").alias("low"))
-    clusters = components(active.join(low, "key").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct())
-    found = verified_clusters(sets, clusters.withColumnRenamed("comp", "cluster"), percent)
-    named = labels.withColumnRenamed("comp", "name")
-    ends = found.join(named.withColumnsRenamed({"node": "a", "name": "name_a"}), "a", "left").join(named.withColumnsRenamed({"node": "b", "name": "name_b"}), "b", "left")
-    merged = components(ends.select(F.coalesce("name_a", "a").alias("a"), F.coalesce("name_b", "b").alias("b")).where("a <> b").distinct())
-    moved = labels.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("now")), "comp", "left").select("node", F.coalesce("now", "comp").alias("comp"))
-    out = stored(moved.unionByName(merged.join(labels, "node", "left_anti")))
-    discard(labels, sets, active, clusters, found, merged)
-    return out
-
-
-def several_components(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members, with their component, of buckets that hold several components."""
-    placed = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    spread = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    return stored(placed.join(spread, "key").select("key", "node"))
+    shared = stored(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    dealt, of_salts = salted(entries, shared, "key", "node")
+    met = dealt.join(of_salts, ["key", "salt"])
+    return stored(met.groupBy("node", "size").agg(F.sum("n").alias("degree"), F.collect_list(F.struct("key", "salt", "salts")).alias("buckets")))
+
+
+def members_of(nodes: DataFrame) -> DataFrame:
+    return nodes.withColumn("bucket", F.explode("buckets")).drop("buckets").select("*", "bucket.*").drop("bucket")
+
+
+def to_members(members: DataFrame, of_keys: DataFrame) -> DataFrame:
+    """``members`` joined to a table of their keys, salt by salt."""
+    return members.join(of_keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts"), ["key", "salt"])
+
+
+def leader_pairs(nodes: DataFrame, percent: int, nth: int) -> DataFrame:
+    """For each node at most one pair (a, b): b is the node, a a leader of another component in one of its buckets. The
+    first round's leader of a bucket is the member that meets most others; later ones go by a hash."""
+    members = members_of(nodes)
+    order = F.struct(F.col("degree") if nth == 0 else F.xxhash64("node", F.lit(nth)), -F.col("node"))
+    leaders = members.groupBy("key").agg(F.first("salts").alias("salts"), F.max_by(F.struct(F.col("node").alias("a"), F.col("size").alias("lead_size"), F.col("comp").alias("lead_comp"), order.alias("order")), order).alias("lead")).select("key", "salts", "lead.*")
+    fits = F.least("size", "lead_size") * 100 >= F.greatest("size", "lead_size") * percent
+    met = to_members(members.select("key", "salt", "node", "size", "comp"), leaders).where((F.col("comp") != F.col("lead_comp")) & fits)
+    return met.groupBy("node").agg(F.max_by(F.struct("a", "comp", "lead_comp"), "order").alias("best")).select("best.a", F.col("node").alias("b"), "best.comp", "best.lead_comp")
+
+
+def in_mixed_buckets(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with only those buckets that still hold several components; nodes without such a bucket go."""
+    members = members_of(nodes)
+    mixed = members.groupBy("key").agg(F.first("salts").alias("salts"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key", "salts")
+    left = to_members(members, mixed)
+    return stored(left.groupBy("node", "size", "degree", "comp").agg(F.collect_list(F.struct("key", "salt", "salts")).alias("buckets")))
+
+
+def renamed(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """``nodes`` with the components that ``found`` (node, comp), over components, gives."""
+    moved = found.select(F.col("node").alias("comp"), F.col("comp").alias("now"))
+    return nodes.join(moved, "comp", "left").withColumn("comp", F.coalesce("now", "comp")).drop("now")
+
+
+def linked_classes(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, comp) over the representatives that share buckets; ``reps`` has doc_id, n_shingles and bands."""
+    nodes = in_shared_buckets(reps)
+    sets = stored(full_sets(docs.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), size))
+    labels = stored(nodes.select("node", F.col("node").alias("comp")))
+    active, left = nodes.withColumn("comp", F.col("node")), nodes.count()
+
+    def join_components(edges: DataFrame) -> None:
+        """Takes links between components (a, b) over into ``labels``."""
+        nonlocal labels
+        found = components(edges)
+        older, labels = labels, stored(renamed(labels, found))
+        discard(older, found)
+
+    nth = 0
+    while left:
+        pairs = stored(leader_pairs(active, percent, nth))
+        linked = verified(pairs.select("a", "b"), sets, percent)
+        join_components(pairs.join(linked, ["a", "b"]).select(F.col("comp").alias("a"), F.col("lead_comp").alias("b")).distinct())
+        now = in_mixed_buckets(active.drop("comp").join(labels, "node"))
+        discard(pairs, active)
+        before, left, active, nth = left, now.count(), now, nth + 1
+        if left > before * FRUITFUL or nth == ROUNDS:
+            break
+    if left:
+        low = members_of(active).groupBy("key").agg(F.first("salts").alias("salts"), F.min("node").alias("low"))
+        chained = to_members(members_of(active).select("key", "salt", "node"), low)
+        clusters = components(chained.select(F.col("low").alias("a"), F.col("node").alias("b")).distinct())
+        found = verified_clusters(sets, clusters.withColumnRenamed("comp", "cluster"), percent)
+        named = labels.withColumnRenamed("comp", "name")
+        ends = found.join(named.withColumnsRenamed({"node": "a", "name": "name_a"}), "a").join(named.withColumnsRenamed({"node": "b", "name": "name_b"}), "b")
+        join_components(ends.select(F.col("name_a").alias("a"), F.col("name_b").alias("b")).where("a <> b").distinct())
+        discard(clusters, found)
+    discard(nodes, sets, active)
+    return labels
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 72, rows: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -265,8 +324,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     labels = linked_classes(docs, reps, size, percent)
     named = classes.where("copies > 1").select("sig_a", "sig_b", "n_shingles", "rep")
     placed = table.select("doc_id", "n_shingles", "sig_a", "sig_b").join(named, ["sig_a", "sig_b", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("node"))
-    if labels is not None:
-        placed = placed.join(labels, "node", "left").withColumn("node", F.coalesce("comp", "node"))
+    placed = placed.join(labels, "node", "left").withColumn("node", F.coalesce("comp", "node"))
     component = F.when(F.col("doc_id").isNotNull(), F.col("node"))
     out = stored(placed.select(F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")))
     discard(table, classes, labels)
@@ -275,15 +333,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate component: that of the least id. Rows that repeat an id are documents of
-    their own here, so that a text goes only if a row of its component stays; rows without words are one for each id."""
+    their own here, so that a text goes only if a row of its component stays; rows without words (null, empty) are one for
+    each id; rows with a null id stay; an empty table gives an empty one; columns of any name pass unchanged."""
     again = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
     if again.isEmpty():
         found = near_duplicates(docs, size, percent, id_col=id_col, text_col=text_col)
         return without(docs, found.where(~F.col("kept")).select(id_col), id_col)
-    rows = stored(docs.where(F.col(id_col).isNotNull()).withColumn("_row", F.monotonically_increasing_id()))
-    found = near_duplicates(rows, size, percent, id_col="_row", text_col=text_col)
-    place = rows.select("_row", F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash")).join(found, "_row")
+    row = free_name(docs, "row")
+    rows = stored(docs.where(F.col(id_col).isNotNull()).withColumn(row, F.monotonically_increasing_id()))
+    texts = rows.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    place = texts.select("row", "id", F.xxhash64("text").alias("hash")).join(near_duplicates(texts, size, percent, id_col="row", text_col="text"), "row")
     filled = F.col("n_shingles") > 0
-    least = place.groupBy(F.when(filled, F.col("component_id")).alias("_component"), F.when(~filled, F.col("_id")).alias("_empty")).agg(F.min(F.struct("_id", "_hash", "_row")).alias("_least"))
-    kept = rows.join(stored(least.select("_least._row")), "_row", "left_semi").select(docs.columns)
+    least = place.groupBy(F.when(filled, F.col("component_id")).alias("component"), F.when(~filled, F.col("id")).alias("empty")).agg(F.min(F.struct("id", "hash", "row")).alias("least"))
+    kept = rows.join(stored(least.select(F.col("least.row").alias(row))), row, "left_semi").select(docs.columns)
     return kept.unionByName(docs.where(F.col(id_col).isNull()))

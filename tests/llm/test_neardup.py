@@ -98,6 +98,19 @@ def test_defined_cases(spark):
     assert once.columns == docs.columns and sorted(str(r["doc_id"]) for r in once.collect()) == ["0", "1", "2", "None", "None", "None"]
 
 
+def test_columns_of_any_name_pass(spark):
+    rows = [(1, prose(1, 40), "a", "b"), (1, prose(2, 40), "c", "d"), (2, prose(1, 40), "e", "f")]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, row STRING, _ROW STRING")
+    assert sorted(tuple(r) for r in neardup.keep_one(docs).collect()) == sorted(rows[:2])
+
+
+def test_hot_buckets_and_leaders_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT", 5)
+    base = prose(3, 120)
+    texts = [edited(base, 1 + k % 3, 1000 + k) for k in range(90)]
+    assert got(neardup.near_duplicates(documents(spark, texts), 4)) == brute(texts, 4)
+
+
 def test_rows_that_repeat_an_id_with_other_texts(spark):
     x, y, z = prose(11, 80), prose(12, 80), prose(13, 80)
     near = edited(x, 1, 3)
