@@ -1,12 +1,14 @@
 """Byte-pair encoding and decoding of whole texts by a prefix-sharing trie traversal.
 
-A text falls into the words of the vocabulary's pre-tokenizer. The distinct words of a run of documents are walked in the depth-first order of their trie (their sorted order; the path from the root is
+A text falls into the words of the vocabulary's pre-tokenizer (the library's own one where a text holds characters whose
+handling depends on the version of Unicode or on their neighbours). The distinct words of a run of documents are walked in the depth-first order of their trie (their sorted order; the path from the root is
 a stack). Each node keeps one thing: the last token of the encoding of its prefix. That token fixes the encoding, as a
 sequence of tokens is an encoding if and only if each pair of neighbours is one; so a node costs a few lookups, and
 what two words share is worked out once. Words already seen are kept in a table of bounded size.
 
 Defined cases: a null or empty text, or one of white space only, has no tokens and decodes to the empty string; equal
-rows give equal results; other columns of the input do not matter.
+rows give equal results; a text of any length is one row of work; an empty table gives no rows; other columns of the
+input do not matter.
 """
 
 from __future__ import annotations
@@ -14,12 +16,12 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from ledgerloom.llm.common import in_batches, runs
 
@@ -31,10 +33,13 @@ PAIRS = 100_000
 MOST_VOCABULARY_BYTES = 64 << 20
 
 # Fixed values of the vocabulary's pre-tokenizer and of byte-level vocabularies; the second form is the first one's for
-# lower-case texts of ASCII and the Latin letters up to U+024F, which the third one tells.
+# lower-case texts of ASCII and the Latin letters up to U+024F, which the third one tells. Of the characters of the last
+# one (Latin and its punctuation) each is composed, lower-cased and sorted into letters, digits and marks by itself, and
+# alike in all versions of Unicode.
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _LATIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\u024f]+|[0-9]|[^\sa-z0-9\xdf-\xf6\xf8-\u024f]+", re.ASCII)
 _LATIN = re.compile(r"[\x00-\x7f\xdf-\xf6\xf8-\u024f]*")
+_STABLE = re.compile("[\x00-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u205e\u20ac]*")
 WORD_END = "</w>"
 
 
@@ -46,6 +51,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTERS = _byte_letters()
+_BYTES = {letter: b for b, letter in _LETTERS.items()}
 
 
 def vocabulary_text(path: str) -> str:
@@ -60,7 +66,10 @@ def vocabulary_text(path: str) -> str:
 class TrieEncoder:
     """Encodes words of a merge list with word ends."""
 
+    whole = None
+
     def __init__(self, vocabulary: str):
+        self.library = Tokenizer.from_str(vocabulary)
         model = json.loads(vocabulary)["model"]
         self.ids: dict[str, int] = model["vocab"]
         self.raw = {t: k.to_bytes(4, "little") for t, k in self.ids.items()}
@@ -160,13 +169,14 @@ def letters_of(word: str) -> str:
 
 
 class Encoder:
-    """Whole texts to ids and decoded text. ``words_to_tokens`` encodes a set of words at once; words that have been
-    encoded are kept, up to a bound, so that a word of a text costs one lookup."""
+    """Whole texts to ids and decoded text. ``kind`` encodes a set of words at once; words that have been encoded are kept,
+    up to a bound, so that a word of a text costs one lookup. Words of texts that hold other characters than ``_STABLE``
+    are those of the library's normaliser and pre-tokenizer, or, if ``kind`` encodes whole texts, these are left to it."""
 
-    def __init__(self, vocabulary: str, words_to_tokens: Callable[[set[str]], Iterator[tuple[str, bytes, str]]]):
+    def __init__(self, vocabulary: str, kind):
         self.special = {t["content"]: t["id"] for t in json.loads(vocabulary)["added_tokens"]}
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words_to_tokens = words_to_tokens
+        self.kind = kind
         self.forget()
 
     def forget(self) -> None:
@@ -178,32 +188,36 @@ class Encoder:
         if "<|" in text and self.at_special:
             found = []
             for k, part in enumerate(self.at_special.split(text)):
-                found += [part] if k % 2 else plain_words(part)
+                found += [part] if k % 2 else plain_words(part, self.kind.library)
             return found
-        return plain_words(text)
+        return plain_words(text, self.kind.library)
 
     def encode(self, texts: list[str], decode: bool = True) -> Iterator[tuple[bytes, str | None]]:
         """Per text its ids as little-endian 32-bit integers, and with ``decode`` the decoded text."""
-        split = [self.words(t) if t else [] for t in texts]
+        whole = {k for k, t in enumerate(texts) if t and self.kind.whole and not _STABLE.fullmatch(t)}
+        split = [self.words(t) if t and k not in whole else [] for k, t in enumerate(texts)]
         words = set().union(*split)
         new = words.difference(self.ids)
         if len(self.ids) + len(new) > KEPT:  # the tables start anew with the words of this run
             self.forget()
             new = words.difference(self.ids)
-        for word, ids, text in self.words_to_tokens(new):
+        for word, ids, text in self.kind.encode(new):
             self.ids[word] = ids
             self.texts[word] = text
-        for words in split:
-            yield b"".join(map(self.ids.__getitem__, words)), " ".join(map(self.texts.__getitem__, words)) if decode else None
+        for k, words in enumerate(split):
+            if k in whole:
+                yield self.kind.whole(texts[k]), None
+            else:
+                yield b"".join(map(self.ids.__getitem__, words)), " ".join(map(self.texts.__getitem__, words)) if decode else None
 
 
-def plain_words(text: str) -> list[str]:
-    """Words of a text without special tokens, in the vocabulary's normal form: composed, each letter lower-cased by
-    itself (so without the final form of sigma)."""
-    if text.isascii():
-        return _LATIN_WORDS.findall(text.lower())
-    text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
-    return (_LATIN_WORDS if _LATIN.fullmatch(text) else _WORDS).findall(text)
+def plain_words(text: str, library: Tokenizer) -> list[str]:
+    """Words of a text without special tokens, in the vocabulary's normal form."""
+    if _STABLE.fullmatch(text):
+        text = text.lower()
+        return (_LATIN_WORDS if text.isascii() or _LATIN.fullmatch(text) else _WORDS).findall(text)
+    found = library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(text))
+    return [bytes(map(_BYTES.__getitem__, letters)).decode("utf-8") for letters, _ in found]
 
 
 _KINDS: dict[tuple[type, int], object] = {}
@@ -216,7 +230,7 @@ def task_encoder(vocabulary: str, kind: type) -> Encoder:
     if key not in _KINDS:
         _KINDS.clear()
         _KINDS[key] = kind(vocabulary)
-    return Encoder(vocabulary, _KINDS[key].encode)
+    return Encoder(vocabulary, _KINDS[key])
 
 
 def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,11 +6,12 @@ prunes files and stripes by their statistics and row groups by the row index and
 read in parallel. Columns: doc_id, part (the file's place in the order), local_start (ids of the part before the
 document), n_tokens, ids. A document's place among all ids is local_start and the totals of the parts before it.
 
-A task asks the library only for words that it has not met (a table of bounded size keeps the others): words are
-joined by a blank, which the vocabulary drops, and the last token of a word ends with the mark of a word's end.
+Of texts of Latin script (characters that normalisation handles one by one) a task asks the library only for words that
+it has not met (a table of bounded size keeps the others): words are joined by a blank, which the vocabulary drops, and
+the last token of a word ends with the mark of a word's end. Any other text goes to the library as a whole.
 
 Defined cases: a null or empty text has the end id alone; a null id comes first; rows that repeat an id stand in the
-order of their texts; an empty table writes no rows; other columns do not matter.
+order of a hash of their texts; an empty table writes no rows; a text of any length is one row; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -23,13 +24,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from ledgerloom.llm.bpe import WORD_END, vocabulary_text, task_encoder
-from ledgerloom.llm.common import in_batches, runs, shared_folder
+from ledgerloom.llm.common import in_batches, runs, shared_folder, stored
 
 #: Rows of a row group, bytes of a stripe, false positives of the Bloom filters.
 ROW_GROUP, STRIPE_BYTES, FALSE_POSITIVES = 1_000, 16 << 20, 0.01
+#: Files whose totals one task adds up.
+FILES = 1_024
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
@@ -59,6 +63,9 @@ class LibraryEncoder:
                 for word in part:
                     yield word, self.ids(word).tobytes(), ""
 
+    def whole(self, text: str) -> bytes:
+        return self.ids(text).tobytes()
+
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
 
@@ -81,7 +88,8 @@ def encoded(docs: DataFrame, vocabulary_path: str, end_id: int, id_col: str, tex
 
     picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = [partitions] if partitions else []
-    ordered = picked.repartitionByRange(*parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    # the hash lets rows that repeat an id, or have none, fall into several ranges
+    ordered = picked.withColumn("hash", F.xxhash64("text")).repartitionByRange(*parts, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").drop("hash")
     return in_batches(ordered).mapInArrow(work, "doc_id BIGINT, local_start BIGINT, n_tokens BIGINT, ids ARRAY<INT>")
 
 
@@ -98,10 +106,13 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 def digest(spark: SparkSession, path: str) -> DataFrame:
     """From the files, per document: doc_id, start, n_tokens, ids_crc32."""
-    stored = read_tokens(spark, path)
-    totals = stored.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # a row for each file
-    before = np.cumsum([0, *(r["n"] for r in totals)])
-    base = spark.createDataFrame([(r["part"], int(n)) for r, n in zip(totals, before, strict=False)], "part INT, base BIGINT")
+    rows = read_tokens(spark, path)
+    # a row for each file, and a running total in two steps: inside groups of files, then over the groups' totals
+    totals = stored(rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("files", F.floor(F.col("part") / FILES)))
+    inside = F.sum("n").over(Window.partitionBy("files").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    groups = totals.groupBy("files").agg(F.sum("n").alias("n"))
+    groups = groups.select("files", F.sum("n").over(Window.orderBy("files").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    base = stored(totals.withColumn("inside", inside).join(groups, "files").select("part", (F.coalesce("inside", F.lit(0)) + F.coalesce("before", F.lit(0))).alias("base")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,7 +122,7 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
             sums = [zlib.crc32(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    placed = stored.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
+    placed = rows.join(base, "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
     return in_batches(placed).mapInArrow(work, "doc_id BIGINT, start BIGINT, n_tokens BIGINT, ids_crc32 BIGINT")
 
 
