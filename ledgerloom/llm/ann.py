@@ -45,11 +45,20 @@ def packed_words(bits: np.ndarray) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def units(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors and lengths of rows, also of those whose squares are too small or large for a double."""
+    scale = np.abs(x).max(1, keepdims=True)
+    x = x / scale
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    with np.errstate(over="ignore"):
+        return x / length, (length * scale)[:, 0]
+
+
 def codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packed signs, lengths and the cosine of each rotated vector and its code."""
     d = x.shape[1]
-    length = np.linalg.norm(x, axis=1)
-    turned = (x / length[:, None]) @ rotation(d)
+    unit, length = units(x)
+    turned = unit @ rotation(d)
     return packed_words(turned > 0), length, np.abs(turned).sum(1) / np.sqrt(d)
 
 
@@ -92,21 +101,22 @@ def best_in_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries
     size = np.diff(begin)
     own = x[first]  # one of each class of equal vectors; the ids of a class ascend
     packed, length, cosine = codes(own)
-    turned = (queries / np.linalg.norm(queries, axis=1, keepdims=True)) @ rotation(x.shape[1])
+    turned = units(queries)[0] @ rotation(x.shape[1])
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for a in range(0, len(queries), 64):
         q, q_ids = queries[a : a + 64], query_ids[a : a + 64]
         middle, half = estimates(packed, cosine, turned[a : a + 64])
-        middle, half = middle * length, np.broadcast_to(half, middle.shape) * length
-        lower = middle - half
+        with np.errstate(over="ignore", invalid="ignore"):
+            middle, half = middle * length, np.broadcast_to(half, middle.shape) * length
+            lower = middle - half
         need = min(k + 1, lower.shape[1])  # one more, as a query may meet itself
         limit = np.partition(lower, lower.shape[1] - need, axis=1)[:, lower.shape[1] - need]
         for r in range(len(q)):
-            near = np.flatnonzero(middle[r] + half[r] >= limit[r])
+            near = np.flatnonzero(~(middle[r] + half[r] < limit[r]))  # what overflows is not below
             rough = own[near] @ q[r]
             place = max(len(rough) - need, 0)
             last = np.partition(rough, place)[place]
-            near = near[rough >= last - 1e-9 * (1 + abs(last))]  # sums in another order differ by far less
+            near = near[~(rough < last - 1e-9 * (1 + abs(last)))]  # sums in another order differ by far less
             score = exact(np.broadcast_to(q[r], (len(near), len(q[r]))), own[near])
             take = np.minimum(size[near], k + 1)  # of a class, its k + 1 least ids suffice
             at = np.repeat(first[near], take) + np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
@@ -142,7 +152,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
         d = left.column("d")[0].as_py()
         c_ids, q_ids = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
         c, q = matrix(left.column("x"), d), matrix(right.column("x"), d)
-        c_keep, q_keep = (np.unique(np.column_stack([i.view(np.float64), x]), axis=0, return_index=True)[1] for i, x in ((c_ids, c), (q_ids, q)))
+        c_keep, q_keep = (np.unique(np.column_stack([i, (x + 0.0).view(np.int64)]), axis=0, return_index=True)[1] for i, x in ((c_ids, c), (q_ids, q)))
         found = best_in_block(c_ids[c_keep], c[c_keep], q_ids[q_keep], q[q_keep], k)
         return pa.table([pa.array(v, t) for v, t in zip(found, _FOUND.types, strict=True)], schema=_FOUND)
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import NOT_ALNUM, discard, in_batches, runs, stored, utf8, without, words
 
 #: Test items are searched in blocks of at most so many bytes of text; more items make more passes over the index.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 8 << 20
 #: Up to so many terms of test items choose what is indexed; beyond that all terms are.
 VOCABULARY_TERMS = 8 << 20
 
@@ -70,13 +70,15 @@ def windows_of(ids: list[str], texts: list[str], width: int) -> Windows:
 
 def item_blocks(benchmark: DataFrame, width: int, id_col: str, text_col: str) -> Iterator[Windows]:
     """The windows of the test items, in blocks of bounded size."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
+    items = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL").distinct()
+    items = stored(items)
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(total // (BLOCK_BYTES // 2)) + 1
     for k in range(parts):
         block = items if parts == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k)
         rows = block.collect()
         yield windows_of([r["id"] for r in rows], [r["text"] for r in rows], width)
+    discard(items)
 
 
 def build_index(docs: DataFrame, terms: np.ndarray | None, gap: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,6 +220,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, slack:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which no window of a test item occurs."""
+    """The rows of ``docs`` in which no window of a test item occurs. Null and empty texts and rows with a null id stay; of
+    rows that repeat an id all go if one holds a window; an empty table gives an empty one; all columns pass unchanged."""
     found = contamination(docs, benchmark, width, id_col=id_col, text_col=text_col)
     return without(docs, found.where("contaminated").select(id_col), id_col)

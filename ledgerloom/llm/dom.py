@@ -29,7 +29,9 @@ AGAINST = {"navigation": "nav navbar navigation menu menubar breadcrumb breadcru
 AGAINST_SETS = {k: frozenset(v.split()) for k, v in AGAINST.items()}
 KIND_OF = {tag: k for k, tags in enumerate(KINDS.values()) for tag in tags.split()}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+# A comment, a tag or a declaration. A quote opens a value only after an equals sign; what is not ended goes to the end of
+# the page. No part gives back what it has taken, so the time is linear in the page.
+_TAG = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?>[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)|<(?:[!?]|/(?![a-zA-Z]))[^>]*+(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?:\b|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 _NAMED = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")

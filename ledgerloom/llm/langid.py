@@ -8,11 +8,12 @@ word of a whole text the chances of its labels; the text's language is the one w
 that sum's share. Long texts are cut into chunks whose transfer matrices are multiplied up first, which gives the same
 chances as one pass over all words and lets a batch of texts be worked on at once.
 
-The field is fitted on windows of about ``SAMPLE`` labelled rows outside the held-out fold, spread evenly over the
-languages; every row is judged by its whole text.
+The field is fitted on windows of at most ``SAMPLE`` labelled rows outside the held-out fold (one of each language at
+least), spread evenly over the languages; every row is judged by its whole text.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0, as is every text if no row has a label;
-ties go to the language that comes first by name; a null id is never held out; other columns do not matter.
+ties go to the language that comes first by name; a null id is never held out; repeated rows get equal results; a text of
+any length is worked on in chunks; an empty table gives no rows; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -20,17 +21,19 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import cycle, islice
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerloom.llm.common import in_batches, kept_rows, runs
 from ledgerloom.llm.quality import held_out
 
-#: Labelled rows that windows are taken from, windows of a row at most, words of a window; frequent words a language
+#: Labelled rows that windows are taken from, at most; windows of a row at most, words of a window; frequent words a language
 #: lists; words whose label scores a task keeps.
 SAMPLE, WINDOWS, LENGTH, LISTED, KEPT = 2_000, 4, 24, 300, 200_000
 #: Words between two splits of a long text.
@@ -98,10 +101,11 @@ def fit_field(windows: list[tuple[str, list[str]]], epochs: int = 6, rate: float
     if n_langs < 2:
         return field
     table = _padded([field.feature_rows(w) for w in vocabulary], blank)
-    pieces = [(np.array([place[w] for w in s[a : a + LENGTH]]), k) for k, s in enumerate(streams) for a in range(0, len(s) - LENGTH + 1, LENGTH)]
+    # a language's last window goes on with its first words, so that none of its words is left out
+    pieces = [([place[w] for w in [*s[a : a + LENGTH], *islice(cycle(s), LENGTH)][:LENGTH]], k) for k, s in enumerate(streams) for a in range(0, len(s), LENGTH)]
     if not pieces:
         return field
-    sequences, labels = np.stack([p for p, _ in pieces]), np.repeat([[k] for _, k in pieces], LENGTH, 1)
+    sequences, labels = np.array([p for p, _ in pieces]), np.repeat([[k] for _, k in pieces], LENGTH, 1)
     other = draw.permutation(len(pieces))  # every second sequence goes on with another one's words after some point
     for k in range(0, len(pieces), 2):
         cut = draw.integers(4, LENGTH - 4)
@@ -228,14 +232,18 @@ class Labeller:
 
 
 def training_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, list[str]]]:
-    """Windows of words of about ``SAMPLE`` labelled rows, evenly over the languages."""
+    """Windows of words of at most ``SAMPLE`` labelled rows, evenly over the languages."""
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL").where(~held_out("id"))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return []
-    shares = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, SAMPLE / len(counts) / n)])
-    order = F.xxhash64("id", F.lit(17))
-    chosen = known.where(F.pmod(order, F.lit(1 << 20)) < shares[F.col("lang")] * (1 << 20)).select("lang", "text", order.alias("seed"))
+    # by hash order, which a first look at the hash makes cheap; no more of a language than its part, whatever repeats
+    part = max(SAMPLE // len(counts), 1)
+    shares = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, 2 * part / n)])
+    order = F.xxhash64("id", "text", F.lit(17))
+    looked = known.withColumn("seed", order).where(F.pmod("seed", F.lit(1 << 20)) < shares[F.col("lang")] * (1 << 20))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("seed", "id"))
+    chosen = looked.withColumn("place", place).where(F.col("place") <= part).select("lang", "text", "seed")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,7 +254,7 @@ def training_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str)
                 out += [(lang, seed, " ".join(found[p * LENGTH : (p + 1) * LENGTH])) for p in places if found]
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string()))], ["lang", "seed", "words"])
 
-    rows = in_batches(chosen).mapInArrow(cut, "lang STRING, seed BIGINT, words STRING").orderBy("lang", "seed", "words").limit(2 * SAMPLE * WINDOWS).collect()
+    rows = in_batches(chosen).mapInArrow(cut, "lang STRING, seed BIGINT, words STRING").orderBy("lang", "seed", "words").collect()  # at most WINDOWS rows for each of SAMPLE
     return [(r["lang"], r["words"].split(" ")) for r in rows]
 
 
@@ -263,12 +271,14 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["id", "held_out", "lang_pred", "score"])
 
     kind = dict(docs.dtypes)[id_col]
-    found = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, f"id {kind}, held_out BOOLEAN, lang_pred STRING, score DOUBLE")
+    found = in_batches(docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))).mapInArrow(work, f"id {kind}, held_out BOOLEAN, lang_pred STRING, score DOUBLE")
     return found.withColumnRenamed("id", id_col)
 
 
 def keep_known(docs: DataFrame, least: float = 0.35, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` with a language: not ``und``, and at least the share ``least`` of the label chances."""
+    """The rows of ``docs`` with a language: not ``und``, and at least the share ``least`` of the label chances. So a null or
+    empty text goes, repeated rows stay or go together, a null id does not matter, an empty table gives an empty one and
+    all columns pass unchanged."""
     field = docs.sparkSession.sparkContext.broadcast(fit_field(training_windows(docs, id_col, text_col, lang_col)))
 
     def decider():

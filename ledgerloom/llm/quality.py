@@ -12,7 +12,8 @@ weights restore the classes' shares); every row is scored on its whole text.
 
 Defined cases: a null or empty text, or one without terms, is a document of length 0 and gets the network's score for
 that; without labels of both classes the score is the share of label 1 (a half without labels); a null id is never
-held out; repeated rows get equal scores; other columns do not matter.
+held out; repeated rows get equal scores; a text of any length is one row of work; an empty table gives no rows; other
+columns do not matter.
 """
 
 from __future__ import annotations
@@ -30,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import discard, kept_rows, runs, stored
+from ledgerloom.llm.common import discard, in_batches, kept_rows, runs, stored
 
-#: Labelled rows that the model is fitted on, at most; terms that get vectors of their own, at most, and from how many
-#: documents of the sample on; size of the vectors, places of an index vector, words to either side.
-SAMPLE, TERMS, TERM_DOCS, SIZE, PLACES, WINDOW = 6_000, 20_000, 5, 64, 6, 2
+#: Labelled rows that the model is fitted on, at most; from how many documents of the sample on a term has a vector of its
+#: own (a rarer one has that of its shape); size of the vectors, places of an index vector, words to either side.
+SAMPLE, TERM_DOCS, SIZE, PLACES, WINDOW = 6_000, 5, 64, 6, 2
 #: Terms at which a document's vector counts half; the doubt that calibration leaves about a label.
 SHRINK, DOUBT = 8, 0.02
 
@@ -173,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["term", "n"])
 
     counted = sample.select("text").mapInArrow(terms, "term STRING, n BIGINT").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= TERM_DOCS)
-    number = {r["term"]: k for k, r in enumerate(counted.orderBy(F.desc("n"), "term").limit(TERMS).collect())}
+    number = {r["term"]: k for k, r in enumerate(counted.orderBy("term").collect())}
     index = index_vectors([*number, "\x00"])
     context = docs.sparkSession.sparkContext
     shared = context.broadcast((number, index))
@@ -191,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["sums"])
 
     sums = np.zeros(index.shape, np.float64)
-    for row in sample.select("text").mapInArrow(near, "sums BINARY").collect():  # eight rows of at most 5 MB
+    for row in sample.select("text").mapInArrow(near, "sums BINARY").collect():  # eight rows; the terms are those of SAMPLE documents
         sums += np.frombuffer(row[0], np.float32).reshape(index.shape)
     sums /= np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
     vectors = np.concatenate([sums, index / np.sqrt(PLACES)], axis=1).astype(np.float32)
@@ -236,11 +237,13 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(scores, pa.float64())], ["id", "held_out", "score"])
 
     kind = dict(docs.dtypes)[id_col]
-    scored = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, f"id {kind}, held_out BOOLEAN, score DOUBLE")
+    scored = in_batches(docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))).mapInArrow(work, f"id {kind}, held_out BOOLEAN, score DOUBLE")
     return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more."""
+    """The rows of ``docs`` that score ``threshold`` or more. A null or empty text stays or goes by the network's score for
+    an empty document, repeated rows stay or go together, a null id does not matter, an empty table gives an empty one and
+    all columns pass unchanged."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, label_col))
     return kept_rows(docs, text_col, lambda: lambda texts: predict(model.value, texts) >= threshold)

@@ -7,7 +7,7 @@ URLs; they are joined by key, through joins that Spark can split where one key h
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, fits no rule and is judged by the trees;
 without labelled URLs, or with labels of one kind, the trees give that kind (allow if there is none); repeated rows
-give repeated results; other columns do not matter.
+give repeated results; an empty table gives no rows; a URL of any length is judged whole; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import gbt
+from ledgerloom.llm.common import in_batches, stored
 
 #: Labelled URLs that the trees are fitted on, at most.
 SAMPLE = 20_000
@@ -84,8 +85,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
     pages = pages.select(F.col(id_col), F.col(url_col).cast("string").alias("url"))
     found = features(split_url(pages, "url").withColumn("found", rule_of(rules)), "url")
     labelled = found.where("found IS NOT NULL").withColumn("blocked", (F.col("found.verdict") == "block").cast("double"))
-    # shares of blocked URLs with one URL of either kind added; how many suffixes there are is not bounded, so they are joined
-    shares = {key: labelled.groupBy(key).agg(((F.sum("blocked") + 1) / (F.count("*") + 2)).alias(f"{key}_share"), F.count("*").alias(f"{key}_seen")) for key in ("top", "site")}
+    # Blocked and all labelled URLs by suffix, in one pass. How many suffixes there are is not bounded: the tables of
+    # shares (with one URL of either kind added) are written first, so that Spark sends one to the rows if its size allows
+    # that, and else joins by key and splits the keys of many rows.
+    counts = stored(labelled.groupBy("top", "site").agg(F.sum("blocked").alias("blocked"), F.count("*").alias("n")))
+    shares = {key: stored(counts.groupBy(key).agg(((F.sum("blocked") + 1) / (F.sum("n") + 2)).alias(f"{key}_share"))) for key in ("top", "site")}
     own = [*FEATURES, "top_share", "site_share"]
 
     def matrix(part: pd.DataFrame) -> np.ndarray:
@@ -96,7 +100,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
             df = df.join(table, key, "left").withColumn(f"{key}_share", F.coalesce(f"{key}_share", F.lit(0.5)))
         return df
 
-    sample = with_shares(labelled.orderBy(F.xxhash64(id_col, "url")).limit(SAMPLE)).select("url", "host", *own, "blocked").toPandas()
+    sample = with_shares(stored(labelled.orderBy(F.xxhash64(id_col, "url")).limit(SAMPLE))).select("url", "host", *own, "blocked").toPandas()
     x, y = matrix(sample), sample["blocked"].to_numpy(np.float64)
     model = gbt.fit(x, y) if len(y) else gbt.Trees([], -8.0, [])
     kept = pages.sparkSession.sparkContext.broadcast(model)
@@ -109,6 +113,6 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
 
     ready = with_shares(found).select(F.col(id_col).alias("id"), "host", "path", F.col("found.rule").alias("rule"), F.col("found.verdict").alias("said"), F.coalesce("url", F.lit("")).alias("url"), *own)
     kind = dict(pages.dtypes)[id_col]
-    judged = ready.mapInPandas(scored, f"id {kind}, host string, path string, rule string, said string, block_score double")
+    judged = in_batches(ready).mapInPandas(scored, f"id {kind}, host string, path string, rule string, said string, block_score double")
     verdict = F.coalesce("said", F.when(F.col("block_score") >= threshold, "block").otherwise("allow"))
     return judged.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "block_score")

@@ -50,6 +50,13 @@ def test_few_and_no_candidates(spark):
     assert ann.nearest(frame(spark, rows[:1])).count() == 0
 
 
+def test_tiny_large_and_negative(spark):
+    rows = [(k, [float(x) for x in np.random.default_rng(abs(k)).normal(size=6) * 10.0 ** e]) for k, e in ((-20, 0), (0, -200), (1, -200), (2, 150), (3, 0), (4, 0), (20, -170))]
+    rows += [(-20, rows[0][1]), (-7, rows[3][1]), (-7, rows[3][1])]
+    df = spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<DOUBLE>")
+    assert got(ann.nearest(df, 20, 20)) == brute(rows, 20, 20)
+
+
 def test_recall_on_a_whole_table(spark):
     df = spark.read.parquet(f"{DATA}/sf0.1/embeddings.parquet")
     rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import gbt, langid, quality, queries, urlfilter
 from ledgerloom.tables import read
-from tests.llm.common import DATA, ODD, documents, fold
+from tests.llm.common import DATA, ODD, documents, fold, prose
 
 
 def test_quality_of_held_out_documents(spark):
@@ -37,6 +37,46 @@ def test_quality_defined_cases(spark):
     assert kept.columns == docs.columns and kept.count() == len(ODD)
 
 
+def test_quality_equals_a_plain_version(spark):
+    """Word vectors, pooling and scores worked out anew, term by term, with the fitted network's weights."""
+    from collections import Counter
+
+    texts = [f"{'good' if k % 3 else 'BAD'} {prose(k, 5 + k % 40, 60 if k % 3 else 90)} {'!!' if not k % 3 else ''} x{k} the the" for k in range(160)] + [None, "", "one"]
+    docs, table = documents(spark, texts), labels(spark, [(k, int(bool(k % 3)), 0) for k in range(150)])
+    model = quality.fit(docs, table)
+    split = [quality._TERM.findall(t or "") for t in texts]
+    fitted = [split[k] for k in range(150) if fold(k, 5)]
+    seen = Counter(x for words in fitted for x in {*words, *({"\x01"} if any(a == b for a, b in zip(words, words[1:])) else ()), *map(quality.shape, words), *({quality.shape("\x01")} if any(a == b for a, b in zip(words, words[1:])) else ())})
+    own = {x for x, n in seen.items() if n >= quality.TERM_DOCS}
+    assert set(model.number) == own
+    name = lambda x: x if x in own else quality.shape(x) if quality.shape(x) in own else "\x00"
+    index = {x: quality.index_vectors([x])[0].astype(float) for x in (*own, "\x00")}
+    near = {x: np.zeros(quality.SIZE) for x in index}
+    for words in fitted:
+        named = [name(x) for x in words]
+        for i, x in enumerate(named):
+            for j in range(max(0, i - quality.WINDOW), min(len(named), i + quality.WINDOW + 1)):
+                if i != j:
+                    near[x] = near[x] + index[named[j]]
+    vector = {x: np.concatenate((near[x] / max(np.linalg.norm(near[x]), 1e-9), index[x] / np.sqrt(quality.PLACES))) for x in index}
+    want = []
+    for words in split:
+        counts = Counter(words)
+        if again := sum(a == b for a, b in zip(words, words[1:])):
+            counts["\x01"] = again
+        tally = Counter()
+        for x, n in counts.items():
+            tally[name(x)] += n
+        total = sum(counts.values())
+        pool = sum((np.log1p(n) * vector[x] for x, n in tally.items()), np.zeros(2 * quality.SIZE)) / max(sum(map(np.log1p, tally.values())), 1e-9)
+        z = (np.concatenate((pool, [np.log1p(total), len(counts) / max(total, 1)])) - model.mean) / model.scale
+        z[:-2] *= total / (total + quality.SHRINK)
+        w1, b1, w2, b2 = model.layers
+        want.append(1 / (1 + np.exp(-(np.tanh(z @ w1 + b1) @ w2 + b2[0]) / model.temperature)))
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, table).collect()}
+    assert np.allclose([got[k] for k in range(len(texts))], want, atol=1e-4)
+
+
 def test_quality_network_gradients_fit():
     draw = np.random.default_rng(0)
     x = draw.normal(size=(600, 6))
@@ -65,6 +105,20 @@ def test_language_defined_cases(spark):
     assert kept.columns == docs.columns and 0 < kept.count() < len(ODD)
 
 
+def test_a_language_of_few_words_is_learned(spark):
+    rows = [(k, prose(k, 60), "w") for k in range(40)] + [(100 + k, "bonjour le monde entier", "fr") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING")
+    asked = docs.unionByName(spark.createDataFrame([(500, "bonjour monde", None)], docs.schema))
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(asked).collect()}[500] == "fr"
+
+
+def test_windows_come_from_a_bounded_sample(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE", 20)
+    docs = spark.createDataFrame([(1, f"same id {k}", "en") for k in range(300)] + [(2, "ein text", "de")], "doc_id BIGINT, text STRING, lang STRING")
+    windows = langid.training_windows(docs, "doc_id", "text", "lang")
+    assert len(windows) == 11 and {lang for lang, _ in windows} == {"en", "de"}
+
+
 def test_forward_backward_in_chunks_is_exact():
     draw = np.random.default_rng(1)
     field = langid.Field(["a", "b", "c"], {}, {}, np.zeros((4, 3)), draw.normal(size=(3, 3)), draw.normal(size=3))

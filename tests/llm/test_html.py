@@ -1,10 +1,12 @@
 import html as entities
 import re
+import time
 
 import numpy as np
 import pytest
 
 from ledgerloom.llm import gbt, html, queries
+from ledgerloom.llm.dom import _TAG as TAG
 from ledgerloom.llm.dom import parse
 from ledgerloom.tables import read
 from tests.llm.common import DATA
@@ -30,15 +32,17 @@ def test_query_equals_the_articles(spark):
         assert r["url"] == pages[r["page_id"]]["url"] and r["text"] == article(pages[r["page_id"]]["html"]) and r["n_chars"] == len(r["text"])
 
 
-def test_written_pages_of_another_seed(model):
+@pytest.mark.parametrize("bare,least,share", [(0.0, 105, 0.97), (1.0, 50, 0.85)])
+def test_written_pages_of_another_seed(model, bare, least, share):
     whole, right, total = 0, 0, 0
-    for page, label in html.written_pages(120, seed=1234):
+    for page, label in html.written_pages(120, seed=1234, bare=bare):
         kept = html.decode(page, gbt.predict(model, html.node_features(page)))
         want = [t for t, y in zip(page.texts, label) if t and y]
         whole += kept == want
         right += len(set(kept) & set(want))
         total += max(len(set(kept)), len(set(want)))
-    assert whole > 105 and right / total > 0.97
+    print(f"whole pages {whole} of 120, blocks {right} of {total}")
+    assert whole >= least and right / total >= share
 
 
 MAIN = "<h1>Title</h1><p>The first paragraph, with a few words.</p><p>Second one; it has some more words, too.</p><ul><li>One thing of a list</li><li>Another thing of it</li></ul>"
@@ -97,6 +101,13 @@ CUTS = [
     ("<a hidden>a<article>b</article></a>c", ["c"]),
     ("<a hidden>a</a>b<article>c</article>d", ["b", "c", "d"]),
     ("<script>'</scripts>'</script>a", ["a"]),
+    # quotes open a value only after an equals sign; what is not ended goes to the end
+    ("<p title=don't>a</p><p title=b'c>d</p>", ["a", "d"]),
+    ("<p it's>a</p>b <i class='x' y\">c</i>", ["a", "b c"]),
+    ("<p title = 'a>b'>c</p><a href=\"x>y\" z>d</a>", ["c", "d"]),
+    ("<p title='a\">b</p>", ["b"]),
+    ("a<!-->b<!--->c<!-- > -->d<!-- x --!>e<?php f ?>g</ h>i</>j", ["abcdegij"]),
+    ("a<b", ["a"]),
     # hidden elements without end tag
     ("<ul><li hidden>a<li>b<li>c</ul>d", ["b", "c", "d"]),
     ("<ul><li hidden>a<ul><li>b</ul>c<li>d</ul>e", ["d", "e"]),
@@ -123,6 +134,30 @@ def test_nothing_else_is_cut(page, want):
     assert blocks(page) == want
 
 
+def test_pages_of_unbalanced_quotes_take_linear_time():
+    for part in ("<p title=don't class='x\">a ", "<a href=\"x' b='\"y>", "<a <b ", "<p a='\"", "<!-- x ", "<", "</p x=\"", "<i a = ", "<![x"):
+        page = part * (1_000_000 // len(part))
+        start = time.process_time()
+        for m in TAG.finditer(page):
+            pass
+        assert time.process_time() - start < 2, part
+    start = time.process_time()
+    parse("<p title=don't class='x\">a " * 4000)
+    assert time.process_time() - start < 2
+
+
+BARE_BEFORE = '<div><a href="/">Site</a></div><div><a href=1>Home</a> <a href=2>News</a> <a href=3>World</a> <a href=4>About us</a></div>'
+BARE_AFTER = '<div><a href=r>Some other story of ours</a><br><a href=s>And one more story</a></div><div>(c) 2020 Site. <a href=i>Imprint</a></div>'
+LONG = "".join(f"<p>{' '.join(['The', 'paragraph', 'number', str(k), 'has', 'some', 'more', 'words,', 'as', 'texts', 'do,', 'and', 'it', 'ends', 'here.'] * 3)}</p>" for k in range(4))
+
+
+@pytest.mark.parametrize("wrap", ["<div>{}</div>", '<div class="x1"><div class="qz">{}</div></div>', "<section>{}</section>", "<div id=k9><h1>Title of it</h1>{}</div>"])
+def test_layouts_whose_names_tell_nothing(model, wrap):
+    page = f"<html><body>{BARE_BEFORE}{wrap.format(LONG)}{BARE_AFTER}</body></html>"
+    got = html.main_texts([page], model)[0].split("\n")
+    assert got[-4:] == re.findall("<p>(.*?)</p>", LONG) and got[:-4] in ([], ["Title of it"])
+
+
 def test_main_text_after_omitted_end_tags(model):
     page = f"<html><head><title>T</title><body>{BEFORE}<article><ul><li hidden>None</ul>{MAIN}</article>{AFTER}"
     assert html.main_texts([page], model) == [WANT]
