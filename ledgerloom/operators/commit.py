@@ -1,7 +1,9 @@
 """Rules of a commit, each a set-based check; the first broken one rejects the commit before anything is written.
 
 A change is one of: ``extend`` (new blocks on the tip), ``replace`` (from a height inside the reorg window), ``finalize``
-(no artifacts; the finalized height moves).
+(no artifacts; the finalized height moves up to a visible block, and the tip stays). Only the first commit of a store may
+name a tip and a finalized height without blocks: it starts the ledger at a checkpoint. A finalize commit that moves
+nothing is rejected.
 """
 
 from __future__ import annotations
@@ -61,7 +63,7 @@ def check_commit(new: Row, change: Change, artifacts: Mapping[str, DataFrame], c
     if known is None and current is not None and finalized:
         known = visible_blocks(blocks.where(F.col("height") == finalized), current["epoch"], current["tip_height"]).select("block_hash").first()
     _stop("finalized_hash", known is not None and known[0] != new["finalized_hash"], "finalized hash is not that of the block there")
-    _stop("finalized_hash", known is None and current is not None and finalized > current["finalized_height"] and not bare, "finalized block is unknown")
+    _stop("finalized_hash", known is None and current is not None and finalized > current["finalized_height"], "finalized block is unknown")
     reverted = {"reverted_epoch": current["epoch"], "reverted_start": change.from_height, "reverted_end": old_tip} if change.kind == "replace" else {"reverted_epoch": None, "reverted_start": None, "reverted_end": None}
     if bare:
         start = end = finalized
@@ -86,7 +88,7 @@ def _changed_range(new: Row, change: Change, current: Row | None, low: int, wind
 def _check_artifacts(own: Mapping[str, DataFrame], tip: int, start: int, end: int) -> None:
     block = own["block"]
     _none("conflict", block.groupBy("height").agg(F.count_distinct("block_hash", "parent_hash").alias("n")).where("n > 1"), "two blocks at one height")
-    _none("tip_hash", block.where((F.col("height") > tip) | ~F.col("height").between(start, end)), "block outside the changed range")
+    _none("range", block.where((F.col("height") > tip) | ~F.col("height").between(start, end)), "block outside the changed range")
     here = block.select("height", "block_hash").distinct()
     for family, rows in own.items():
         if family != "block":
@@ -107,7 +109,10 @@ def _check_monotone(new: Row, change: Change, current: Row | None, block: DataFr
         return
     _stop("finalized", new["finalized_height"] < current["finalized_height"], "finalized height decreases")
     _stop("finalized", new["finalized_height"] == current["finalized_height"] and new["finalized_hash"] != current["finalized_hash"], "finalized hash changes")
-    if change.kind != "replace":
+    if change.kind == "finalize":
+        _stop("tip", (new["tip_height"], new["tip_hash"]) != (current["tip_height"], current["tip_hash"]), "tip moves without blocks")
+        _stop("finalized", new["finalized_height"] == current["finalized_height"], "nothing is finalized")
+    elif change.kind != "replace":
         _stop("tip", new["tip_height"] < current["tip_height"], "tip decreases")
         _stop("tip", new["tip_height"] == current["tip_height"] and new["tip_hash"] != current["tip_hash"], "tip hash changes without a replacement")
 

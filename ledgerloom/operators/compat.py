@@ -36,13 +36,25 @@ def address_outputs(reader: EpochReader, addresses: DataFrame, start_height: int
     return rows.select("script_hash", "txid", narrowed(F.col("output_index"), "output index", 31).cast("int").alias("output_index"), "script", narrowed(F.col("value_zat"), "value", 63).alias("value_zat"), "height")
 
 
-def tree_state(reader: EpochReader, height: int | None = None) -> DataFrame:
+def shown_tree_states(rows: DataFrame, network: int) -> DataFrame:
     """Network, height, displayed hash, time and the final states of both trees."""
-    rows = reader.tree_state(reader.tip if height is None else height)
     payload = F.col("payload")
-    return rows.select(F.lit(NETWORKS[reader.pin["network"]]).alias("network"), "height", scalars.display_hash(F.col("block_hash")).alias("hash"), scalars.tree_time(payload).alias("time"), scalars.final_state(payload, "sapling").alias("sapling_tree"), scalars.final_state(payload, "orchard").alias("orchard_tree"))
+    return rows.select(F.lit(NETWORKS[network]).alias("network"), "height", scalars.display_hash(F.col("block_hash")).alias("hash"), scalars.tree_time(payload).alias("time"), scalars.final_state(payload, "sapling").alias("sapling_tree"), scalars.final_state(payload, "orchard").alias("orchard_tree"))
+
+
+def tree_state(reader: EpochReader, height: int | None = None) -> DataFrame:
+    return shown_tree_states(reader.tree_state(reader.tip if height is None else height), reader.pin["network"])
 
 
-def server_info(reader: EpochReader) -> DataFrame:
+def server_info(reader: EpochReader, upgrades: DataFrame | None = None) -> DataFrame:
+    """``upgrades`` (name, branch_id, activation_height) are those that the node names: the info has the sapling one's height
+    and the branch id in force at the tip, zeros if unknown."""
     names = F.create_map(*[F.lit(x) for pair in NETWORKS.items() for x in pair])
-    return reader.info().select(names[F.col("network")].alias("chain_name"), F.col("tip_height").alias("block_height"), F.lit("ledgerloom").alias("vendor"), F.lit(True).alias("taddr_support"))
+    spark = reader.tables["chain_epoch"].sparkSession
+    upgrades = spark.createDataFrame([], "name STRING, branch_id STRING, activation_height BIGINT") if upgrades is None else upgrades
+    reached = F.col("activation_height") <= reader.tip
+    known = upgrades.agg(F.max(F.when(F.lower("name") == "sapling", F.col("activation_height"))).alias("sapling"), F.max_by(F.when(reached, F.lower("branch_id")), F.when(reached, F.col("activation_height"))).alias("branch"))
+    return reader.info().join(known).select(
+        names[F.col("network")].alias("chain_name"), F.col("tip_height").alias("block_height"), F.col("tip_height").alias("estimated_height"), F.lit("ledgerloom").alias("vendor"), F.lit(True).alias("taddr_support"),
+        F.coalesce("sapling", F.lit(0).cast("bigint")).alias("sapling_activation_height"), F.coalesce("branch", F.lit("00000000")).alias("consensus_branch_id"),
+    )

@@ -21,6 +21,11 @@ from ledgerloom.schema import PROTOCOLS, SUBTREE_LEAVES
 
 #: Blocks, roots and events of a reply, at most.
 MAX_BLOCKS, MAX_ROOTS = 1000, 1000
+# Names of what a reader can be asked for.
+CAPABILITIES = (
+    "wallet.read.latest_block_v1", "wallet.read.compact_block_at_v1", "wallet.read.compact_block_range_v1", "wallet.read.tree_state_at_v1",
+    "wallet.read.latest_tree_state_v1", "wallet.read.subtree_roots_in_range_v1", "wallet.read.transaction_by_id_v1", "wallet.read.server_info_v1", "wallet.events.chain_v1",
+)
 
 
 class EpochReader:
@@ -96,6 +101,13 @@ class EpochReader:
         found = compact.transaction_at(self.compact_block(height), height, index).select("txid").first()
         return self.tables["transaction"].limit(0) if found is None else self.transaction(found["txid"])
 
+    def positions(self) -> DataFrame:
+        """(height, tx_index, txid) of every visible transaction that compact blocks hold; its index is its own ordinal."""
+        blocks = as_of(self.tables["compact_block"].where(F.col("height") <= self.tip), ["height"], self.epoch)
+        placed = on_branch(blocks, self.visible()).select("height", F.explode("vtx").alias("tx"))
+        newest = on_branch(as_of(self.tables["transaction"], ["txid"], self.epoch), self.visible()).select("txid", "height")
+        return placed.select("height", F.col("tx.index").alias("tx_index"), F.col("tx.txid").alias("txid")).join(newest, ["txid", "height"]).select("height", "tx_index", "txid")
+
     def status(self, txid: str) -> str:
         return "NotFound" if self.transaction(txid).isEmpty() else "Mined"
 
@@ -105,6 +117,11 @@ class EpochReader:
             raise NotFound(f"tree_state {height}")
         return found
 
+    def tree_states(self, start: int, end: int) -> DataFrame:
+        """The visible tree states of start..end, up to the tip."""
+        rows = self.tables["tree_state"].where(F.col("height").between(start, min(end, self.tip)))
+        return on_branch(as_of(rows, ["height"], self.epoch), self.visible())
+
     def latest_tree_state(self) -> DataFrame:
         return self.tree_state(self.tip)
 
@@ -141,4 +158,4 @@ class EpochReader:
         return utxo.balances(self.unspent_outputs(), "script_hash")
 
     def info(self) -> DataFrame:
-        return self.tables["chain_epoch"].where(F.col("epoch") == self.epoch).select("network", "epoch", "tip_height", "artifact_schema_version", F.lit(MAX_BLOCKS).alias("max_blocks"), F.lit(MAX_ROOTS).alias("max_roots"))
+        return self.tables["chain_epoch"].where(F.col("epoch") == self.epoch).select("network", "epoch", "tip_height", "artifact_schema_version", F.lit(MAX_BLOCKS).alias("max_blocks"), F.lit(MAX_ROOTS).alias("max_roots"), F.array(*map(F.lit, CAPABILITIES)).alias("capabilities"))

@@ -15,6 +15,7 @@ from typing import Any
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ledgerloom.errors import DataLoss, InvalidRequest
+from ledgerloom.schema import PROTOCOLS
 
 SCHEMA = "network STRING, height BIGINT, block_hash STRING, parent_hash STRING, time BIGINT, raw_hex STRING, tree_state STRING"
 #: Attempts of a request, first and longest pause between them in seconds.
@@ -67,6 +68,33 @@ def source_row(document: dict, height: int, network: str) -> tuple:
     return network, height, *hashes, int(document["time"]), document.get("raw_block_hex"), None if state is None else json.dumps(state)
 
 
+def subtree_rows(document: dict, protocol: int, start: int) -> list[tuple[int, str, int]]:
+    """(subtree_index, root_hash, height) of a node's reply about completed subtrees, which must be of the pool and start that
+    were asked for."""
+    if document.get("pool") != PROTOCOLS[protocol] or document.get("start_index") != start:
+        raise DataLoss("node answered for other subtrees")
+    found = [(start + k, s.get("root"), s.get("end_height")) for k, s in enumerate(document.get("subtrees", []))]
+    if any(not isinstance(root, str) or len(root) != 64 or not isinstance(height, int) for _, root, height in found):
+        raise DataLoss("a subtree root is malformed")
+    return found
+
+
+def upgrade_rows(document: dict) -> list[tuple[str, str, int]]:
+    """(name, branch_id, activation_height) of the upgrades in a node's reply about its chain."""
+    return [(u["name"], branch, int(u["activationheight"])) for branch, u in sorted(document.get("upgrades", {}).items())]
+
+
+#: Methods of a node and what they let it be asked for; a node that does not describe itself is trusted with all but the first.
+METHODS = {"rpc.discover": "describe", "getblock": "block", "getblockchaininfo": "tip", "z_gettreestate": "tree_state", "z_getsubtreesbyindex": "subtree_roots", "sendrawtransaction": "broadcast"}
+
+
+def node_capabilities(document: dict | None) -> set[str]:
+    """What a node offers, by its own description of its methods (null: it gives none)."""
+    if document is None:
+        return set(METHODS.values()) - {"describe"}
+    return {METHODS[m["name"]] for m in document.get("methods", []) if m.get("name") in METHODS} | {"describe"}
+
+
 class _Heights(InputPartition):
     def __init__(self, start: int, end: int):
         self.start, self.end = start, end

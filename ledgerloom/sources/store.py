@@ -1,9 +1,10 @@
 """A store of append-only Parquet tables whose only commit point is one manifest file.
 
-A commit writes its rows to folders of their own and then creates ``_epochs/<id>.json``, which lists them; the file is
-created without overwriting, so of two writers that race one fails and leaves only unlisted folders. Readers take a
-manifest and read the folders that it lists, so a snapshot never changes under them. Files are reached through Hadoop's
-file systems, as Spark reaches its own.
+A commit stages its rows in folders of their own, checks what it has staged and then creates ``epochs/<id>.json``, which
+names them; the file is created without overwriting, so of two writers that race one fails and leaves only unnamed
+folders. Readers take the manifests up to an epoch, as one table, and of each family the rows of the commits that they
+name, so a snapshot never changes under them. A manifest also holds the commit's event: the manifests are the change
+log, which a stream can tail. Files are reached through Hadoop's file systems, as Spark reaches its own.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import json
 import uuid
 from collections.abc import Mapping
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,22 +21,26 @@ from ledgerloom.errors import CommitRejected, FailedPrecondition
 from ledgerloom.operators.commit import Change, check_commit, checked_schema
 from ledgerloom.operators.reader import EpochReader
 from ledgerloom.schema import FAMILIES, STORE_SCHEMA_VERSION, conform, ddl, schema
+from ledgerloom.streaming.events import history, retention_floor
 
 #: Columns that the files of a family are sorted by.
 SORTED = {"block": ["height"], "compact_block": ["height"], "transaction": ["txid"], "tree_state": ["height"], "subtree_root": ["protocol", "subtree_index"], "utxo": ["script_hash", "height", "txid", "output_index"], "utxo_spend": ["txid", "output_index"]}
 
 
+MANIFEST = f"commit STRING, families ARRAY<STRING>, previous BIGINT, chain_epoch STRUCT<{ddl('chain_epoch')}>, event STRUCT<{ddl('chain_event')}>"
+
+
 class LedgerStore:
-    def __init__(self, spark: SparkSession, path: str, network: int, create: bool = False):
+    def __init__(self, spark: SparkSession, path: str, network: int, create: bool = False, meta: dict | None = None):
         self.spark, self.path, self.network = spark, path.rstrip("/"), network
         jvm = spark.sparkContext._jvm
         self._hadoop = jvm.org.apache.hadoop.fs.Path
         self._fs = self._hadoop(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        meta = self._read("_meta.json")
+        fresh, meta = meta, self._read("_meta.json")
         if meta is None:
             if not create:
                 raise FailedPrecondition("no store here")
-            self._create("_meta.json", {"store_schema_version": STORE_SCHEMA_VERSION, "network": network, "key": uuid.uuid4().hex + uuid.uuid4().hex})
+            self._create("_meta.json", fresh or {"store_schema_version": STORE_SCHEMA_VERSION, "network": network, "key": uuid.uuid4().hex + uuid.uuid4().hex})
             meta = self._read("_meta.json")
         if meta["store_schema_version"] != STORE_SCHEMA_VERSION:
             raise FailedPrecondition("store schema differs")
@@ -54,18 +60,28 @@ class LedgerStore:
             stream.close()
 
     def _create(self, name: str, content: dict) -> None:
-        """A new file by a rename that does not overwrite; fails if the name is taken."""
+        """A new file by a rename that does not overwrite (atomic where the file system's is, as in HDFS); fails if the
+        name is taken."""
         target, draft = self._hadoop(f"{self.path}/{name}"), self._hadoop(f"{self.path}/_drafts/{uuid.uuid4().hex}")
         stream = self._fs.create(draft, False)
         stream.write(bytearray(json.dumps(content).encode()))
         stream.close()
         self._fs.mkdirs(target.getParent())
-        if self._fs.exists(target) or not self._fs.rename(draft, target):
+        context = self.spark.sparkContext
+        rename = getattr(context._jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = context._gateway.new_array(rename, 1)
+        how[0] = rename.NONE
+        files = context._jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), context._jsc.hadoopConfiguration())
+        try:
+            files.rename(draft, target, how)
+        except Py4JJavaError as failed:
             self._fs.delete(draft, False)
-            raise CommitRejected("single_writer", f"{name} exists")
+            if self._fs.exists(target):
+                raise CommitRejected("single_writer", f"{name} exists") from failed
+            raise
 
     def epochs(self) -> list[int]:
-        folder = self._hadoop(f"{self.path}/_epochs")
+        folder = self._hadoop(f"{self.path}/epochs")
         if not self._fs.exists(folder):
             return []
         return sorted(int(s.getPath().getName().split(".")[0]) for s in self._fs.listStatus(folder) if s.getPath().getName().endswith(".json"))
@@ -78,20 +94,50 @@ class LedgerStore:
             return None
         if epoch is None:
             epoch = ids[-1]
-        return self._read(f"_epochs/{epoch:020d}.json") if epoch in ids else None
+        return self._read(f"epochs/{epoch:020d}.json") if epoch in ids else None
+
+    def manifests(self, epoch: int | None = None) -> DataFrame:
+        """A row for each commit, up to an epoch."""
+        if not self.epochs():
+            return self.spark.createDataFrame([], MANIFEST)
+        listed = self.spark.read.schema(MANIFEST).json(f"{self.path}/epochs")
+        return listed if epoch is None else listed.where(F.col("chain_epoch.epoch") <= epoch)
 
     def tables(self, epoch: int | None = None) -> dict[str, DataFrame]:
-        """The tables of a snapshot, from the folders that manifests up to it list."""
-        ids = [k for k in self.epochs() if epoch is None or k <= epoch]
-        listed = [self._read(f"_epochs/{k:020d}.json") for k in ids]
+        """The tables of a snapshot: of each family the folders of commits that manifests up to it name. Events below the
+        retention floor are left out."""
+        listed = self.manifests(epoch)
+        commits = listed.select("commit", F.explode("families").alias("family"))
         out = {}
         for family in FAMILIES:
-            paths = [f"{self.path}/{m['folders'][family]}" for m in listed if family in m["folders"]]
-            out[family] = self.spark.read.schema(schema(family)).parquet(*paths) if paths else self.spark.createDataFrame([], schema(family))
-        out["chain_epoch"] = self.spark.createDataFrame([tuple(m["chain_epoch"][f.name] for f in schema("chain_epoch").fields) for m in listed], schema("chain_epoch"))
-        out["chain_event"] = self.spark.createDataFrame([tuple(m["event"].get(f.name) for f in schema("chain_event").fields) for m in listed], schema("chain_event"))
+            own = commits.where(F.col("family") == family).select("commit")
+            if self._fs.exists(self._hadoop(f"{self.path}/{family}")):
+                rows = self.spark.read.schema(f"{ddl(family)}, commit STRING").option("basePath", f"{self.path}/{family}").parquet(f"{self.path}/{family}")
+                out[family] = rows.join(own, "commit", "left_semi").drop("commit")  # prunes the folders of other commits
+            else:
+                out[family] = self.spark.createDataFrame([], schema(family))
+        out["chain_epoch"] = listed.select("chain_epoch.*")
+        out["chain_event"] = listed.select("event.*").where(F.col("sequence") >= self.floor())
         return out
 
+    def floor(self) -> int:
+        """The oldest retained event; 1 if nothing was pruned."""
+        folder = self._hadoop(f"{self.path}/retention")
+        found = [int(s.getPath().getName().split(".")[0]) for s in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        return max(found, default=1)
+
+    def prune(self, cutoff_millis: int) -> int:
+        """Raises the retention floor over the events before the first one as young as the cutoff (the newest event always
+        stays); returns the floor. It never sinks, and cursors below it expire."""
+        found = retention_floor(self.tables()["chain_event"], cutoff_millis).first()[0]
+        if found is not None and found > self.floor():
+            self._create(f"retention/{found:020d}.json", {"floor_sequence": found, "cutoff_millis": cutoff_millis})
+        return self.floor()
+
+    def history(self, token: bytes | None = None, **how) -> DataFrame:
+        """A page of this store's events, each with its cursor."""
+        return history(self.tables()["chain_event"], self.cursor_key, self.network, token, floor=self.floor() if self.epochs() else None, **how)
+
     def reader(self, pin: int | Row | None = None) -> EpochReader:
         return EpochReader.open(self.tables(), pin)
 
@@ -105,18 +151,25 @@ class LedgerStore:
         checked_schema(new["artifact_schema_version"])
         if new["network"] != self.network:
             raise CommitRejected("network", "another network")
-        current = self.current()
-        stamped = {f: conform(df.withColumn("epoch", F.lit(new["epoch"])), f) for f, df in artifacts.items()}
-        event = check_commit(new, change, stamped, current, self.tables()["block"], reorg_window)
         last = self.manifest()
+        current = Row(**last["chain_epoch"]) if last else None
         sequence = (last["event"]["sequence"] if last else 0) + 1
-        folders = {}
-        for family, rows in stamped.items():
-            folder = f"{family}/epoch-{new['epoch']:020d}-{uuid.uuid4().hex}"
-            rows.sortWithinPartitions(*SORTED[family]).write.option("parquet.bloom.filter.enabled#txid", "true").option("parquet.bloom.filter.enabled#script_hash", "true").parquet(f"{self.path}/{folder}")
-            folders[family] = folder
+        name = f"{new['epoch']:020d}-{uuid.uuid4().hex}"
+        blocks = self.tables()["block"]
+        staged = {}
+        try:
+            for family, rows in artifacts.items():
+                place = f"{self.path}/{family}/commit={name}"
+                own = conform(rows.withColumn("epoch", F.lit(new["epoch"])), family)
+                own.sortWithinPartitions(*SORTED[family]).write.option("parquet.bloom.filter.enabled#txid", "true").option("parquet.bloom.filter.enabled#script_hash", "true").parquet(place)
+                staged[family] = self.spark.read.schema(schema(family)).parquet(place)
+            event = check_commit(new, change, staged, current, blocks, reorg_window)
+        except Exception:
+            for family in artifacts:
+                self._fs.delete(self._hadoop(f"{self.path}/{family}/commit={name}"), True)
+            raise
         fields = [f.name for f in schema("chain_epoch").fields]
-        self._create(f"_epochs/{new['epoch']:020d}.json", {"chain_epoch": {f: new[f] for f in fields}, "event": event.asDict() | {"sequence": sequence}, "folders": folders, "previous": current["epoch"] if current else None})
+        self._create(f"epochs/{new['epoch']:020d}.json", {"commit": name, "families": sorted(staged), "previous": current["epoch"] if current else None, "chain_epoch": {f: new[f] for f in fields}, "event": event.asDict() | {"sequence": sequence}})
         if (now := self.current())["epoch"] != new["epoch"]:
             raise CommitRejected("epoch_order", f"epoch {now['epoch']} was published meanwhile")
         return sequence
@@ -127,20 +180,22 @@ class LedgerStore:
         return self.commit(Row(**(now.asDict() | {"epoch": now["epoch"] + 1, "finalized_height": height, "finalized_hash": block_hash, "created_at_millis": created_at_millis})), Change("finalize"), {})
 
     def checkpoint(self, path: str) -> None:
-        """A consistent copy of what the manifests list."""
-        copy = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        target = self._hadoop(path).getFileSystem(conf)
-        names = ["_meta.json"]
-        for k in self.epochs():
-            names += [*self._read(f"_epochs/{k:020d}.json")["folders"].values(), f"_epochs/{k:020d}.json"]
-        for name in names:
-            to = self._hadoop(f"{path}/{name}")
-            target.mkdirs(to.getParent())
-            copy(self._fs, self._hadoop(f"{self.path}/{name}"), target, to, False, conf)
+        """A consistent copy of what the manifests name; Spark copies the rows, one job for each family."""
+        epochs, floor = self.epochs(), self.floor()
+        listed = [self._read(f"epochs/{k:020d}.json") for k in epochs]
+        copy = LedgerStore(self.spark, path, self.network, create=True, meta=self._read("_meta.json"))
+        for family in FAMILIES:
+            commits = [m["commit"] for m in listed if family in m["families"]]
+            if commits:
+                rows = self.spark.read.schema(f"{ddl(family)}, commit STRING").parquet(f"{self.path}/{family}").where(F.col("commit").isin(commits))
+                rows.repartition("commit").sortWithinPartitions("commit", *SORTED[family]).write.partitionBy("commit").parquet(f"{copy.path}/{family}")
+        for k, manifest in zip(epochs, listed, strict=True):
+            copy._create(f"epochs/{k:020d}.json", manifest)
+        if floor > 1:
+            copy._create(f"retention/{floor:020d}.json", {"floor_sequence": floor})
 
     def catch_up(self, seen: int | None) -> tuple[int | None, int | None]:
-        """What a reader saw before and what it can see now."""
+        """What a reader saw before and what it can see now; one that reads on from there opens ``reader()`` anew."""
         ids = self.epochs()
         return seen, ids[-1] if ids else None
 

@@ -111,6 +111,9 @@ RULES = [
     ("height", lambda c: (epoch_row(2, 4), Change("extend"), c.blocks(4, 4) | {"utxo": c.table("utxo", [c.output("0a", 0, 1, 6)])})),
     ("unique", lambda c: (epoch_row(2, 4), Change("extend"), c.blocks(4, 4) | {"utxo_spend": c.table("utxo_spend", [c.spend("0a", 0, 4)] * 2)})),
     ("finalized_hash", lambda c: (epoch_row(2, 4, finalized=2, finalized_hash="00" * 32), Change("extend"), c.blocks(4, 4))),
+    ("tip", lambda c: (epoch_row(2, 7, finalized=2), Change("finalize"), {})),
+    ("finalized_hash", lambda c: (epoch_row(2, 3, finalized=2, finalized_hash="ff" * 32), Change("finalize"), {})),
+    ("finalized", lambda c: (epoch_row(2, 3), Change("finalize"), {})),
     ("network", lambda c: (epoch_row(2, 4, network=1), Change("extend"), c.blocks(4, 4))),
 ]
 
@@ -165,10 +168,10 @@ def test_only_one_writer_publishes_an_epoch(spark, chain, store):
     other = LedgerStore(spark, store.path, 3)
     store.commit(epoch_row(1, 2), Change("extend"), chain.blocks(1, 2))
     with pytest.raises(CommitRejected):
-        other._create("_epochs/00000000000000000001.json", {})
+        other._create("epochs/00000000000000000001.json", {})
 
 
-def test_history_pages_cursors_and_retention(spark, chain, store):
+def test_history_pages_cursors_andretention(spark, chain, store):
     for k in range(1, 5):
         store.commit(epoch_row(k, k, finalized=k if k % 2 else k - 1), Change("extend"), chain.blocks(k, k))
     events = store.tables()["chain_event"]
@@ -189,6 +192,25 @@ def test_history_pages_cursors_and_retention(spark, chain, store):
     assert log.retention_floor(events, 1 << 60).first()[0] == 4
 
 
+def test_pruning_keeps_a_floor(spark, chain, store):
+    for k in range(1, 5):
+        store.commit(epoch_row(k, k), Change("extend"), chain.blocks(k, k))
+    token = bytes(store.history(max_events=1).first()["cursor"])
+    assert store.prune(1_774_668_500_003) == 3 and store.prune(0) == 3
+    assert [r["sequence"] for r in store.history().collect()] == [3, 4]
+    with pytest.raises(FailedPrecondition):
+        store.history(token)
+    assert store.reader().visible().count() == 4  # rows stay
+    assert store.prune(1 << 60) == 4 and LedgerStore(spark, store.path, 3).floor() == 4
+
+
+def test_a_rejected_commit_leaves_no_rows(spark, chain, store):
+    store.commit(epoch_row(1, 2), Change("extend"), chain.blocks(1, 2))
+    with pytest.raises(CommitRejected):
+        store.commit(epoch_row(2, 9), Change("extend"), chain.blocks(3, 3))
+    assert spark.read.parquet(f"{store.path}/block").count() == 2 and store.epochs() == [1]
+
+
 def test_choosing_a_change():
     tip = epoch_row(5, 50)
     assert choose_change(tip, 51, block_hash(50)).kind == "extend"
