@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerloom.shared import once
 from ledgerloom.tables import read
 
 #: Orders of a block, blocks of a commit, commits of a cycle with one replacement, blocks that it replaces.
@@ -65,7 +66,11 @@ class Ledger:
         return tips.select("epoch", "tip_height", "tip_hash", "start_height", F.greatest(F.col("tip_height") - REORG_WINDOW, F.lit(0)).alias("finalized_height"), kind.alias("kind"))
 
     def transactions(self) -> DataFrame:
-        """epoch, height, block_hash, txid, order_key, placed_at."""
+        """epoch, height, block_hash, txid, order_key, placed_at. These and the next tables are derived once for each
+        application and input, so that queries read them as a ledger's own tables are read."""
+        return once(self.spark, self.sf_dir, "transactions", self._transactions)
+
+    def _transactions(self) -> DataFrame:
         orders = read(self.spark, self.sf_dir, "orders").select("o_orderkey", "o_orderdate", F.floor(F.col("o_orderkey") / ORDERS + 1).cast("bigint").alias("height"))
         kept = (F.col("branch") == 0) | (F.col("o_orderkey") % 7 != 0)
         return orders.join(self.blocks(), "height").where(kept).select("epoch", "height", "block_hash", digest("t", F.col("o_orderkey")).alias("txid"), F.col("o_orderkey").alias("order_key"), F.col("o_orderdate").alias("placed_at"))
@@ -81,11 +86,17 @@ class Ledger:
 
     def outputs(self) -> DataFrame:
         """epoch, height, block_hash, txid, output_index, address, script_hash, value_zat."""
+        return once(self.spark, self.sf_dir, "outputs", self._outputs)
+
+    def _outputs(self) -> DataFrame:
         made = self.lines().join(self.transactions(), "order_key")
         return made.select("epoch", "height", "block_hash", "txid", "output_index", "address", "script_hash", "value_zat")
 
     def spends(self) -> DataFrame:
         """epoch, height, block_hash of the spending block, txid and output_index of what it spends."""
+        return once(self.spark, self.sf_dir, "spends", self._spends)
+
+    def _spends(self) -> DataFrame:
         spent = self.lines().where("spent").select(digest("t", F.col("order_key")).alias("txid"), "output_index", (F.floor(F.col("order_key") / ORDERS + 1) + F.col("delay")).cast("bigint").alias("height"))
         return spent.join(self.blocks().select("epoch", "height", "block_hash"), "height").select("epoch", "height", "block_hash", "txid", "output_index")
 

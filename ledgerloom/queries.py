@@ -265,9 +265,9 @@ _EVENTS = """, log AS (SELECT row_number() OVER (ORDER BY epoch) AS sequence, ep
 
 def _log(led: Ledger) -> DataFrame:
     """One event for each epoch. Odd epochs 2g - 1 come from group g, the even ones between them from every fifth."""
-    sequence = F.floor((F.col("epoch") + 1) / 2) + F.floor(F.col("epoch") / 10) - F.when(F.col("epoch") % 10 == 0, 0).otherwise(0)
+    sequence = F.floor((F.col("epoch") + 1) / 2) + F.floor(F.col("epoch") / 10)
     kind = F.when(F.col("kind") == "replace", "reorged").otherwise("committed")
-    return led.epochs().select(sequence.cast("bigint").alias("sequence"), "epoch", kind.alias("event_kind"), "start_height", F.col("tip_height").alias("end_height"), "tip_height", "tip_hash", "finalized_height", (F.lit(1774668500000) + F.col("epoch") * 60000).alias("created_at_millis"))
+    return led.epochs().select(sequence.cast("bigint").alias("sequence"), "epoch", kind.alias("event_kind"), "start_height", F.col("tip_height").alias("end_height"), F.when(kind == "reorged", F.col("start_height")).alias("reverted_start"), F.when(kind == "reorged", F.col("tip_height")).alias("reverted_end"), "tip_height", "tip_hash", "finalized_height", (F.lit(1774668500000) + F.col("epoch") * 60000).alias("created_at_millis"))
 
 
 @query(_EVENTS + "SELECT sequence, epoch, event_kind, start_height, end_height FROM log WHERE sequence > 3 ORDER BY sequence LIMIT 1000")
@@ -283,8 +283,7 @@ def chain_events_finalized(led: Ledger) -> DataFrame:
 
 @query(_EVENTS + """SELECT l.epoch, l.start_height, l.end_height, CASE WHEN event_kind = 'reorged' THEN l.start_height END AS reverted_start, CASE WHEN event_kind = 'reorged' THEN l.end_height END AS reverted_end FROM log l""")
 def event_ranges(led: Ledger) -> DataFrame:
-    reorged = F.col("event_kind") == "reorged"
-    return _log(led).select("epoch", "start_height", "end_height", F.when(reorged, F.col("start_height")).alias("reverted_start"), F.when(reorged, F.col("end_height")).alias("reverted_end"))
+    return _log(led).select("epoch", "start_height", "end_height", "reverted_start", "reverted_end")
 
 
 @query(_EVENTS + "SELECT coalesce(min(CASE WHEN created_at_millis >= 1774668500000 + 600000 THEN sequence END), max(sequence)) AS floor_sequence FROM log")
@@ -403,4 +402,4 @@ def broadcast_code_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Queries that the bench times.
-HEADLINE = ["visible_blocks_at_epoch", "address_balance", "address_utxos", "spent_outputs", "transactions_by_id", "derive_replay_final_state", "parent_link_check", "commit_coverage_diff", "derive_top_addresses", "tree_sizes_running", "address_history", "derive_session_activity"]
+HEADLINE = ["latest_block", "compact_block_range", "visible_blocks_at_epoch", "address_balance", "address_utxos", "spent_outputs", "transactions_by_id", "derive_replay_final_state", "parent_link_check", "commit_coverage_diff", "derive_top_addresses", "tree_sizes_running", "address_history", "derive_session_activity"]
