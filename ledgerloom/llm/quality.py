@@ -36,6 +36,8 @@ from ledgerloom.llm.common import discard, in_batches, kept_rows, runs, stored
 #: Labelled rows that the model is fitted on, at most; from how many documents of the sample on a term has a vector of its
 #: own (a rarer one has that of its shape); size of the vectors, places of an index vector, words to either side.
 SAMPLE, TERM_DOCS, SIZE, PLACES, WINDOW = 6_000, 5, 64, 6, 2
+#: Terms whose sums travel together.
+PART = 1_024
 #: Terms at which a document's vector counts half; the doubt that calibration leaves about a label.
 SHRINK, DOUBT = 8, 0.02
 
@@ -189,11 +191,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     if len(at) > k:
                         np.add.at(sums, at[:-k], index[at[k:]])
                         np.add.at(sums, at[k:], index[at[:-k]])
-        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["sums"])
-
-    sums = np.zeros(index.shape, np.float64)
-    for row in sample.select("text").mapInArrow(near, "sums BINARY").collect():  # eight rows; the terms are those of SAMPLE documents
-        sums += np.frombuffer(row[0], np.float32).reshape(index.shape)
+        parts = [sums[k : k + PART].tobytes() for k in range(0, len(sums), PART)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["part", "sums"])
+
+    def added(table: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(x.as_py(), np.float32) for x in table.column("sums")], axis=0, dtype=np.float64)
+        return pa.table([table.column("part").slice(0, 1), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["part", "sums"])
+
+    # the tasks' sums meet part by part; the driver gets one vector for each term of the sample
+    met = sample.select("text").mapInArrow(near, "part INT, sums BINARY").groupBy("part").applyInArrow(added, "part INT, sums BINARY")
+    sums = np.zeros(index.shape, np.float32)
+    for row in met.toLocalIterator():
+        own = np.frombuffer(row["sums"], np.float32).reshape(-1, SIZE)
+        sums[row["part"] * PART : row["part"] * PART + len(own)] = own
+    shared.destroy()
     sums /= np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
     vectors = np.concatenate([sums, index / np.sqrt(PLACES)], axis=1).astype(np.float32)
     model = context.broadcast((number, vectors))
@@ -203,7 +214,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             x = pooled(batch.column(1).to_pylist(), *model.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["label", "id", "x"])
 
+    del index, sums
     rows = sorted(sample.select("label", "text", F.xxhash64("id").alias("id")).mapInArrow(features, "label INT, id BIGINT, x BINARY").collect(), key=lambda r: (r["id"], r["x"]))
+    model.destroy()
     discard(chosen)
     y = np.array([r["label"] for r in rows], np.float64)
     if not len(rows) or y.min() == y.max():
