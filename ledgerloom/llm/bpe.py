@@ -185,16 +185,17 @@ class Encoder:
 
     def words(self, text: str) -> list[str]:
         """The words of the pre-tokenizer, special tokens as they stand."""
+        library = None if self.kind.whole else self.kind.library  # without it, other texts do not come here
         if "<|" in text and self.at_special:
             found = []
             for k, part in enumerate(self.at_special.split(text)):
-                found += [part] if k % 2 else plain_words(part, self.kind.library)
+                found += [part] if k % 2 else plain_words(part, library)
             return found
-        return plain_words(text, self.kind.library)
+        return plain_words(text, library)
 
     def encode(self, texts: list[str], decode: bool = True) -> Iterator[tuple[bytes, str | None]]:
         """Per text its ids as little-endian 32-bit integers, and with ``decode`` the decoded text."""
-        whole = {k for k, t in enumerate(texts) if t and self.kind.whole and not _STABLE.fullmatch(t)}
+        whole = {k for k, t in enumerate(texts) if t and self.kind.whole and not (t.isascii() or _STABLE.fullmatch(t))}
         split = [self.words(t) if t and k not in whole else [] for k, t in enumerate(texts)]
         words = set().union(*split)
         new = words.difference(self.ids)
@@ -211,11 +212,14 @@ class Encoder:
                 yield b"".join(map(self.ids.__getitem__, words)), " ".join(map(self.texts.__getitem__, words)) if decode else None
 
 
-def plain_words(text: str, library: Tokenizer) -> list[str]:
-    """Words of a text without special tokens, in the vocabulary's normal form."""
-    if _STABLE.fullmatch(text):
+def plain_words(text: str, library: Tokenizer | None) -> list[str]:
+    """Words of a text without special tokens, in the vocabulary's normal form; without ``library`` the text is known to be
+    of ``_STABLE`` characters."""
+    if text.isascii():
+        return _LATIN_WORDS.findall(text.lower())
+    if library is None or _STABLE.fullmatch(text):
         text = text.lower()
-        return (_LATIN_WORDS if text.isascii() or _LATIN.fullmatch(text) else _WORDS).findall(text)
+        return (_LATIN_WORDS if _LATIN.fullmatch(text) else _WORDS).findall(text)
     found = library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(text))
     return [bytes(map(_BYTES.__getitem__, letters)).decode("utf-8") for letters, _ in found]
 
