@@ -25,7 +25,7 @@ from tokenizers import Tokenizer
 
 from ledgerloom.llm.common import in_batches, runs
 
-#: Words that a task's table keeps; a full table starts anew.
+#: Words that a worker's table keeps; a full table starts anew.
 KEPT = 300_000
 #: Answers about pairs of tokens that a worker's encoder keeps.
 PAIRS = 100_000
@@ -224,17 +224,17 @@ def plain_words(text: str, library: Tokenizer | None) -> list[str]:
     return [bytes(map(_BYTES.__getitem__, letters)).decode("utf-8") for letters, _ in found]
 
 
-_KINDS: dict[tuple[type, int], object] = {}
+_ENCODERS: dict[tuple[type, int], Encoder] = {}
 
 
 def task_encoder(vocabulary: str, kind: type) -> Encoder:
-    """An encoder with tables of its own, which go when the task ends; what is built from the vocabulary stays with the
-    Python worker for later tasks."""
+    """The encoder of this Python worker: later tasks find what is built from the vocabulary, and the words (up to
+    ``KEPT``) that earlier ones have met."""
     key = (kind, hash(vocabulary))
-    if key not in _KINDS:
-        _KINDS.clear()
-        _KINDS[key] = kind(vocabulary)
-    return Encoder(vocabulary, _KINDS[key])
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(vocabulary, kind(vocabulary))
+    return _ENCODERS[key]
 
 
 def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ prunes files and stripes by their statistics and row groups by the row index and
 read in parallel. Columns: doc_id, part (the file's place in the order), local_start (ids of the part before the
 document), n_tokens, ids. A document's place among all ids is local_start and the totals of the parts before it.
 
-Of texts of Latin script (characters that normalisation handles one by one) a task asks the library only for words that
+Of texts of Latin script (characters that normalisation handles one by one) a worker asks the library only for words that
 it has not met (a table of bounded size keeps the others): words are joined by a blank, which the vocabulary drops, and
 the last token of a word ends with the mark of a word's end. Any other text goes to the library as a whole.
 
