@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom import shared
+
 #: Bytes of text that one vectorised step takes at once (a longer document is a run of its own).
 RUN_BYTES = 1 << 20
 #: Rows and bytes of an Arrow batch.
@@ -18,18 +19,11 @@ BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; in local mode, a temporary one where that is
-    unset. A cluster without it is an error, as its machines share no temporary folder."""
-    conf = spark.sparkContext.getConf()
-    base = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    """The folder that driver and executors share, which becomes the checkpoint folder, too."""
+    base = shared.shared_folder(spark)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+    return base
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -49,9 +43,7 @@ def discard(*tables: DataFrame | None) -> None:
     """Deletes tables that ``stored`` has written and that nothing will read again."""
     for df in tables:
         if df is not None and (path := getattr(df, "stored_at", None)):
-            spark = df.sparkSession
-            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            shared.delete(df.sparkSession, path)
 
 
 def runs(column: pa.Array, limit: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
