@@ -125,15 +125,17 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for the nodes of undirected ``edges`` (a, b): comp is the least node that can be reached. Labels
-    sink along edges and then jump to their label's label, so that the number of rounds grows with the logarithm."""
+    sink along edges and then jump to their label's label, so that the number of rounds grows with the logarithm. All
+    nodes of a component share their label, so what a jump joins is written first: only labels that have a lower label
+    themselves are sent, whole if Spark knows them to be small, or else to a join whose large labels it splits."""
     both = stored(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("comp")))
     while True:
         low = both.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("theirs")), "b").groupBy("a").agg(F.min("theirs").alias("low"))
-        sunk = labels.join(low.withColumnRenamed("a", "node"), "node").select("node", F.col("comp").alias("was"), F.least("comp", "low").alias("comp"))
-        jump = sunk.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
-        moved = stored(sunk.join(jump, "comp", "left").select("node", "was", F.least("comp", F.coalesce("far", "comp")).alias("comp")))
-        discard(labels)
+        sunk = stored(labels.join(low.withColumnRenamed("a", "node"), "node").select("node", F.col("comp").alias("was"), F.least("comp", "low").alias("comp")))
+        jump = sunk.where("comp < node").select(F.col("node").alias("comp"), F.col("comp").alias("far"))
+        moved = stored(sunk.join(jump, "comp", "left").select("node", "was", F.coalesce("far", "comp").alias("comp")))
+        discard(labels, sunk)
         labels = _at(moved.select("node", "comp"), moved.stored_at)
         if not moved.where("comp <> was").limit(1).count():
             discard(both)
