@@ -5,11 +5,12 @@ uniform share, with weights by bucket of the context's frequency. The weights ar
 on held-out counts: a part of the training documents is deleted from the counts and then predicted by what is left.
 All counts cover all training documents.
 
-How it runs: documents are packed into chunks (a row of the stored chunk table each, texts compressed). Each chunk
-sends its distinct n-grams with their counts to the buckets of their hashes; a bucket adds the counts up and answers
-each chunk with the totals of what it sent, in the order sent. A chunk with its answers then scores its documents. So an
-n-gram crosses the network once per chunk, whatever its frequency, and no count table has to fit anywhere. Words are
-64-bit hashes; n-grams of two and more words are 48-bit hashes that travel as steps of 32 bits.
+How it runs: documents are gathered into chunks, and the chunks of a task into packs (a row of the stored table each,
+texts compressed). Each pack sends its distinct n-grams with their counts to the buckets of their hashes; a bucket adds
+the counts up and answers each pack with the totals of what it sent, in the order sent. A pack with its answers then
+scores its documents, chunk by chunk. So an n-gram crosses the network once per pack, whatever its frequency, and no
+count table has to fit anywhere. Words are 64-bit hashes; n-grams of two and more words are 48-bit hashes that travel as
+steps of 32 bits.
 
 Defined cases: a null or empty text is the end token alone; a null id counts as a training document; without training
 documents every score is 0 counts' uniform share; repeated rows count each time; other columns do not matter.
@@ -30,20 +31,23 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import SPACES, discard, in_batches, mix, offsets_of, stored, utf8, words
 from ledgerloom.llm.quality import held_out
 
-#: Bytes of text of a chunk, about; one of so many training documents (by crc32) is deleted for the mixture weights.
-CHUNK_BYTES, DELETED_OF = 4 << 20, 16
+#: Bytes of text of a chunk, of a pack of chunks and for each bucket, about.
+CHUNK_BYTES, PACK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20, 8 << 20
+#: One of so many training documents (by crc32) is deleted for the mixture weights.
+DELETED_OF = 16
 #: Frequency classes of contexts (powers of two), classes of estimates by which held-out events are gathered.
 CLASSES, LEVELS = 32, 48
 _END, _START = np.uint64(0x5EED5EED5EED5EED), np.uint64(0xB0B0B0B0B0B0B0B1)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _MASK48 = np.uint64((1 << 48) - 1)
 
-CHUNK = "chunk BIGINT, deleted BOOLEAN, ids ARRAY<BIGINT>, kinds BINARY, ends BINARY, texts BINARY"
-_CHUNK = pa.schema([("chunk", pa.int64()), ("deleted", pa.bool_()), ("ids", pa.list_(pa.int64())), ("kinds", pa.binary()), ("ends", pa.binary()), ("texts", pa.binary())])
-SENT = "size INT, bucket INT, chunk BIGINT, gone BOOLEAN, keys BINARY, counts BINARY"
-_SENT = pa.schema([("size", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("gone", pa.bool_()), ("keys", pa.binary()), ("counts", pa.binary())])
-ANSWER = "size INT, bucket INT, chunk BIGINT, gone BOOLEAN, totals BINARY, without BINARY, types BIGINT, tokens BIGINT, tokens_left BIGINT"
-_ANSWER = pa.schema([("size", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("gone", pa.bool_()), ("totals", pa.binary()), ("without", pa.binary()), ("types", pa.int64()), ("tokens", pa.int64()), ("tokens_left", pa.int64())])
+PACK = "pack BIGINT, deleted BOOLEAN, bytes BIGINT, chunks ARRAY<STRUCT<ids: ARRAY<BIGINT>, kinds: BINARY, ends: BINARY, texts: BINARY>>"
+_CHUNK = pa.struct([("ids", pa.list_(pa.int64())), ("kinds", pa.binary()), ("ends", pa.binary()), ("texts", pa.binary())])
+_PACK = pa.schema([("pack", pa.int64()), ("deleted", pa.bool_()), ("bytes", pa.int64()), ("chunks", pa.list_(_CHUNK))])
+SENT = "size INT, bucket INT, pack BIGINT, gone BOOLEAN, keys BINARY, counts BINARY"
+_SENT = pa.schema([("size", pa.int32()), ("bucket", pa.int32()), ("pack", pa.int64()), ("gone", pa.bool_()), ("keys", pa.binary()), ("counts", pa.binary())])
+ANSWER = "size INT, bucket INT, pack BIGINT, gone BOOLEAN, totals BINARY, without BINARY, types BIGINT, tokens BIGINT, tokens_left BIGINT"
+_ANSWER = pa.schema([("size", pa.int32()), ("bucket", pa.int32()), ("pack", pa.int64()), ("gone", pa.bool_()), ("totals", pa.binary()), ("without", pa.binary()), ("types", pa.int64()), ("tokens", pa.int64()), ("tokens_left", pa.int64())])
 _CELL = pa.schema([("cell", pa.int64()), ("n", pa.int64()), ("sums", pa.list_(pa.float64()))])
 _SCORED = pa.schema([("id", pa.int64()), ("kind", pa.int32()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
@@ -73,8 +77,8 @@ def steps(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, place
 
 
-def chunk_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The chunk table; deleted documents have chunks of their own. ``kinds``: 0 held out, 1 training, 2 deleted."""
+def pack_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The table of packs; deleted documents have packs of their own. ``kinds``: 0 held out, 1 training, 2 deleted."""
     trains = ~held_out("id", 7, 2)
     deleted = trains & F.coalesce(F.crc32(F.concat(F.lit("deleted "), F.col("id").cast("string"))) % DELETED_OF == 0, F.lit(False))
     picked = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -82,17 +86,22 @@ def chunk_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bool, list[tuple[pa.Array, pa.Array, pa.Array]]] = {True: [], False: []}
-        size, made = {True: 0, False: 0}, [0]
+        size, chunks, total, made = {True: 0, False: 0}, {True: [], False: []}, {True: 0, False: 0}, 0
 
-        def flush(gone: bool) -> Iterator[pa.RecordBatch]:
+        def close_chunk(gone: bool) -> None:
             if held[gone]:
                 ids, texts, kinds = (pa.concat_arrays(list(c)) for c in zip(*held[gone], strict=True))
                 data, ends = utf8(texts)
-                name = (TaskContext.get().partitionId() << 32) + made[0]
-                made[0] += 1
-                row = [name, gone, ids.to_pylist(), kinds.to_numpy().astype(np.uint8).tobytes(), pack(ends, "<i8"), press(data.tobytes())]
+                chunks[gone].append({"ids": ids.to_pylist(), "kinds": kinds.to_numpy().astype(np.uint8).tobytes(), "ends": pack(ends, "<i8"), "texts": press(data.tobytes())})
+                total[gone] += size[gone]
                 held[gone], size[gone] = [], 0
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _CHUNK.types, strict=True)], schema=_CHUNK)
+
+        def close_pack(gone: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal made
+            if chunks[gone]:
+                row = [(TaskContext.get().partitionId() << 32) + made, gone, total[gone], chunks[gone]]
+                made, total[gone], chunks[gone] = made + 1, 0, []
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _PACK.types, strict=True)], schema=_PACK)
 
         for batch in batches:
             kinds = batch.column(2).to_numpy()
@@ -107,20 +116,23 @@ def chunk_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     size[gone] += int(ends[b] - ends[a])
                     a = b
                     if size[gone] >= CHUNK_BYTES * 7 // 8:
-                        yield from flush(gone)
+                        close_chunk(gone)
+                    if total[gone] >= PACK_BYTES * 7 // 8:
+                        yield from close_pack(gone)
         for gone in (True, False):
-            yield from flush(gone)
+            close_chunk(gone)
+            yield from close_pack(gone)
 
-    return in_batches(picked).mapInArrow(work, CHUNK)
+    return in_batches(picked).mapInArrow(work, PACK)
 
 
 class Grams:
-    """A chunk's tokens and its distinct n-grams of each length, cut up by bucket."""
+    """A chunk's distinct n-grams of each length, ascending, and which one ends at each token."""
 
-    def __init__(self, row: dict, order: int, buckets: int):
-        data, ends = np.frombuffer(_open.decompress(row["texts"]), np.uint8), unpack(row["ends"], "<i8")
+    def __init__(self, chunk: dict, order: int):
+        data, ends = np.frombuffer(_open.decompress(chunk["texts"]), np.uint8), unpack(chunk["ends"], "<i8")
         h, first = words(data, ends, SPACES)
-        self.kinds = np.frombuffer(row["kinds"], np.uint8)
+        self.kinds = np.frombuffer(chunk["kinds"], np.uint8)
         docs = len(self.kinds)
         self.first = first + np.arange(docs + 1)  # each document has its end token, too
         tokens = np.empty(len(h) + docs, np.uint64)
@@ -128,58 +140,89 @@ class Grams:
         word = np.ones(len(tokens), bool)
         word[self.first[1:] - 1] = False
         tokens[word] = h
-        self.doc = np.repeat(np.arange(docs), np.diff(self.first))
         keys, before = tokens, tokens
-        self.orders: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.orders: list[tuple[np.ndarray, np.ndarray]] = []
         for size in range(1, order + 1):
             if size > 1:  # the token that stands size - 1 places before, or the document's start
                 before = np.concatenate((np.full(1, _START, np.uint64), before[:-1]))
                 before[self.first[:-1]] = _START
                 keys = mix(before * _GOLD + mix(keys + np.uint64(size))) & _MASK48
             own, place = np.unique(keys, return_inverse=True)
-            bits = np.uint64(64 if size == 1 else 48)
-            bucket = ((own >> (bits - np.uint64(32))) * np.uint64(buckets)) >> np.uint64(32)
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-            self.orders.append((own, place, cuts, bits))
+            self.orders.append((own, place.astype(np.int32)))
 
     def counts(self, size: int, kind: int) -> np.ndarray:
         """How often each distinct n-gram stands in documents of a kind or more."""
-        own, place, *_ = self.orders[size - 1]
-        return np.bincount(place, (self.kinds[self.doc] >= kind).astype(np.float64), len(own)).astype(np.int64)
+        own, place = self.orders[size - 1]
+        return np.bincount(place, np.repeat((self.kinds >= kind).astype(np.float64), np.diff(self.first)), len(own)).astype(np.int64)
+
+
+class Pack:
+    """The n-grams of a pack's chunks, and the distinct ones of all of them, cut up by bucket."""
+
+    def __init__(self, row: dict, order: int, buckets: int):
+        self.buckets = buckets
+        self.chunks = [Grams(chunk, order) for chunk in row["chunks"]]
+        self.orders: list[tuple[np.ndarray, list[np.ndarray], np.ndarray]] = []
+        for size in range(1, order + 1):
+            each = [c.orders[size - 1][0] for c in self.chunks]
+            own, place = np.unique(np.concatenate(each), return_inverse=True)
+            high = np.uint64(32 if size == 1 else 16)
+            bucket = ((own >> high) * np.uint64(buckets)) >> np.uint64(32)
+            cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+            self.orders.append((own, np.split(place.astype(np.int32), np.cumsum([len(e) for e in each])[:-1]), cuts))
+
+    def counts(self, size: int, kind: int) -> np.ndarray:
+        own, places, _ = self.orders[size - 1]
+        out = np.zeros(len(own), np.int64)
+        for chunk, place in zip(self.chunks, places, strict=True):
+            out[place] += chunk.counts(size, kind)  # a chunk has each n-gram once
+        return out
 
-    def parts(self, size: int, buckets: int) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    def parts(self, size: int) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
         """(bucket, from, to, steps or keys, places among them)."""
-        own, _, cuts, bits = self.orders[size - 1]
-        for b in range(buckets):
+        own, _, cuts = self.orders[size - 1]
+        for b in range(self.buckets):
             a, z = int(cuts[b]), int(cuts[b + 1])
             if a < z:
                 if size == 1:
                     yield b, a, z, own[a:z], np.arange(z - a)
                 else:
-                    low = np.uint64(-((-b << 32) // buckets) << 16)
+                    low = np.uint64(-((-b << 32) // self.buckets) << 16)
                     yield b, a, z, *steps(own[a:z] - low)
 
+    def token_counts(self, answers: list[dict], column: str) -> Iterator[tuple[Grams, list[np.ndarray]]]:
+        """Each chunk with, for each length, the count of the n-gram that ends at each token."""
+        found = {(a["size"], a["bucket"]): a[column] for a in answers}
+        totals = []
+        for size, (own, *_) in enumerate(self.orders, 1):
+            total = np.zeros(len(own), np.int64)
+            for b, a, z, _, at in self.parts(size):
+                total[a:z] = unpack(found[size, b], "<u4")[at]
+            totals.append(total)
+        for k, chunk in enumerate(self.chunks):
+            yield chunk, [total[places[k]][place] for total, (_, places, _), (_, place) in zip(totals, self.orders, chunk.orders, strict=True)]
+
 
 def send(order: int, buckets: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                grams = Grams(row, order, buckets)
+                own = Pack(row, order, buckets)
                 for size in range(1, order + 1):
-                    counts = grams.counts(size, 1)
+                    counts = own.counts(size, 1)
                     out = []
-                    for b, a, z, keys, place in grams.parts(size, buckets):
+                    for b, a, z, keys, place in own.parts(size):
                         spread = np.zeros(len(keys), np.int64)
                         spread[place] = counts[a:z]
-                        out.append((size, b, row["chunk"], row["deleted"], keys.tobytes(), pack(spread, "<u4")))
+                        out.append((size, b, row["pack"], row["deleted"], keys.tobytes(), pack(spread, "<u4")))
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), _SENT.types, strict=True)], schema=_SENT)
 
     return work
 
 
 def answer(table: pa.Table) -> pa.Table:
-    """The totals of a bucket's n-grams, for each chunk in the order in which it sent them."""
+    """The totals of a bucket's n-grams, for each pack in the order in which it sent them."""
     rows = table.to_pylist()
     size = rows[0]["size"]
     keys = [np.frombuffer(r["keys"], np.uint64) if size == 1 else np.cumsum(np.frombuffer(r["keys"], np.uint32), dtype=np.uint64) for r in rows]
@@ -193,23 +236,10 @@ def answer(table: pa.Table) -> pa.Table:
     for k, r in enumerate(rows):
         at = place[ends[k] : ends[k + 1]]
         sums = (int((total > 0).sum()), int(total.sum()), int(left.sum())) if k == 0 and size == 1 else (0, 0, 0)
-        out.append((size, r["bucket"], r["chunk"], r["gone"], pack(total[at], "<u4"), pack(left[at], "<u4") if r["gone"] else None, *sums))
+        out.append((size, r["bucket"], r["pack"], r["gone"], pack(total[at], "<u4"), pack(left[at], "<u4") if r["gone"] else None, *sums))
     return pa.table([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), _ANSWER.types, strict=True)], schema=_ANSWER)
 
 
-def token_counts(grams: Grams, answers: list[dict], order: int, buckets: int, column: str) -> list[np.ndarray]:
-    """For each length the count of the n-gram that ends at each token."""
-    found = {(a["size"], a["bucket"]): a[column] for a in answers}
-    out = []
-    for size in range(1, order + 1):
-        own, place, *_ = grams.orders[size - 1]
-        total = np.zeros(len(own), np.int64)
-        for b, a, z, _, at in grams.parts(size, buckets):
-            total[a:z] = unpack(found[size, b], "<u4")[at]
-        out.append(total[place])
-    return out
-
-
 def estimates(grams: Grams, counts: list[np.ndarray], tokens: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Maximum-likelihood estimates of each length, and the class of the longest context's frequency. The context of
     a document's first token is its start, as frequent as the end."""
@@ -252,49 +282,49 @@ def mixture_weights(cells: list[tuple[int, int, list[float]]], order: int, unifo
 
 def score(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probability of the text)."""
-    chunks = stored(chunk_rows(docs, id_col, text_col))
-    buckets = max(16, chunks.count() // 2)
-    sent = chunks.mapInArrow(send(order, buckets), SENT)
+    packs = stored(pack_rows(docs, id_col, text_col))
+    buckets = max(16, -(-(packs.agg(F.sum("bytes")).first()[0] or 0) // BUCKET_BYTES))
+    sent = packs.mapInArrow(send(order, buckets), SENT)
     answers = stored(sent.groupBy("size", "bucket").applyInArrow(answer, ANSWER))
     sums = answers.agg(F.sum("types"), F.sum("tokens"), F.sum("tokens_left")).first()
     types, tokens, left = (int(v or 0) for v in sums)
     uniform = 1 / (types + 1)
 
     def gather(key, row: pa.Table, found: pa.Table) -> pa.Table:
-        cells: dict[int, list] = {}
-        if row.num_rows:
-            grams = Grams(row.to_pylist()[0], order, buckets)
-            p, kind = estimates(grams, token_counts(grams, found.to_pylist(), order, buckets, "without"), left)
+        cells: dict[int, tuple[int, np.ndarray]] = {}
+        own = row.to_pylist()
+        for grams, counts in Pack(own[0], order, buckets).token_counts(found.to_pylist(), "without") if own else ():
+            p, kind = estimates(grams, counts, left)
             cell = kind
             for e in p:
                 level = np.where(e > 0, 1 + np.clip(np.floor(-2 * np.log2(np.maximum(e, 1e-300))), 0, LEVELS - 2), 0)
                 cell = cell * LEVELS + level.astype(np.int64)
-            own, place = np.unique(cell, return_inverse=True)
-            sums = np.column_stack([np.bincount(place, e, len(own)) for e in p])
-            cells = {int(c): [int(n), s] for c, n, s in zip(own, np.bincount(place, minlength=len(own)), sums.tolist(), strict=True)}
-        return pa.table([pa.array([*cells], pa.int64()), pa.array([v[0] for v in cells.values()], pa.int64()), pa.array([v[1] for v in cells.values()], pa.list_(pa.float64()))], schema=_CELL)
-
-    held = chunks.where("deleted").groupBy("chunk").cogroup(answers.where("gone").groupBy("chunk")).applyInArrow(gather, "cell BIGINT, n BIGINT, sums ARRAY<DOUBLE>")
+            which, place = np.unique(cell, return_inverse=True)
+            sums = np.column_stack([np.bincount(place, e, len(which)) for e in p])
+            for c, n, s in zip(which.tolist(), np.bincount(place, minlength=len(which)).tolist(), sums, strict=True):
+                had, sum_had = cells.get(c, (0, 0.0))
+                cells[c] = had + n, sum_had + s
+        return pa.table([pa.array([*cells], pa.int64()), pa.array([n for n, _ in cells.values()], pa.int64()), pa.array([s.tolist() for _, s in cells.values()], pa.list_(pa.float64()))], schema=_CELL)
+
+    held = packs.where("deleted").groupBy("pack").cogroup(answers.where("gone").groupBy("pack")).applyInArrow(gather, "cell BIGINT, n BIGINT, sums ARRAY<DOUBLE>")
     added = held.groupBy("cell").agg(F.sum("n").alias("n"), *[F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(order)])
     # at most CLASSES * LEVELS ** order rows
     cells = sorted((r["cell"], r["n"], [r[f"s{k}"] for k in range(order)]) for r in added.collect())
     weights = mixture_weights(cells, order, uniform)
 
     def scored(key, row: pa.Table, found: pa.Table) -> pa.Table:
-        if not row.num_rows:
-            return _SCORED.empty_table()
-        own = row.to_pylist()[0]
-        grams = Grams(own, order, buckets)
-        counts = token_counts(grams, found.to_pylist(), order, buckets, "totals")
-        p, kind = estimates(grams, counts, tokens)
-        mixed = weights[kind, 0] * uniform
-        for k, e in enumerate(p):
-            mixed += weights[kind, k + 1] * e
-        at = grams.first[:-1]
-        base = np.add.reduceat(np.log10(counts[0] + 1.0) - math.log10(tokens + types + 1), at)
-        made = [own["ids"], grams.kinds, np.diff(grams.first), np.add.reduceat((counts[0] > 0).astype(np.int64), at), base, np.add.reduceat(np.log10(mixed), at)]
-        return pa.table([pa.array(c, t) for c, t in zip(made, _SCORED.types, strict=True)], schema=_SCORED)
-
-    out = stored(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, "id BIGINT, kind INT, n_tokens BIGINT, n_known BIGINT, base_score DOUBLE, score DOUBLE"))
-    discard(chunks, answers)
+        own, made = row.to_pylist(), []
+        for (grams, counts), chunk in zip(Pack(own[0], order, buckets).token_counts(found.to_pylist(), "totals"), own[0]["chunks"], strict=True) if own else ():
+            p, kind = estimates(grams, counts, tokens)
+            mixed = weights[kind, 0] * uniform
+            for k, e in enumerate(p):
+                mixed += weights[kind, k + 1] * e
+            at = grams.first[:-1]
+            base = np.add.reduceat(np.log10(counts[0] + 1.0) - math.log10(tokens + types + 1), at)
+            columns = [chunk["ids"], grams.kinds, np.diff(grams.first), np.add.reduceat((counts[0] > 0).astype(np.int64), at), base, np.add.reduceat(np.log10(mixed), at)]
+            made.append(pa.table([pa.array(c, t) for c, t in zip(columns, _SCORED.types, strict=True)], schema=_SCORED))
+        return pa.concat_tables(made) if made else _SCORED.empty_table()
+
+    out = stored(packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(scored, "id BIGINT, kind INT, n_tokens BIGINT, n_known BIGINT, base_score DOUBLE, score DOUBLE"))
+    discard(packs, answers)
     return out.select(F.col("id").alias(id_col), (F.col("kind") == 0).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score")

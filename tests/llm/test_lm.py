@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerloom.llm import lm, queries
@@ -93,8 +94,20 @@ def test_scores_equal_a_plain_model(spark, monkeypatch, order):
 def test_small_chunks_change_nothing(spark, monkeypatch):
     texts = [prose(k, 40, 50) for k in range(40)]
     whole = {r["doc_id"]: r["score"] for r in lm.score(documents(spark, texts)).collect()}
+    for chunk, pack, bucket in ((500, 500, 8 << 20), (500, 2_000, 400), (2_000, 500, 100)):
+        for name, size in (("CHUNK_BYTES", chunk), ("PACK_BYTES", pack), ("BUCKET_BYTES", bucket)):
+            monkeypatch.setattr(lm, name, size)
+        assert {r["doc_id"]: r["score"] for r in lm.score(documents(spark, texts)).collect()} == pytest.approx(whole)
+
+
+def test_rows_sent_follow_packs_and_buckets(spark, monkeypatch):
     monkeypatch.setattr(lm, "CHUNK_BYTES", 500)
-    assert {r["doc_id"]: r["score"] for r in lm.score(documents(spark, texts)).collect()} == pytest.approx(whole)
+    monkeypatch.setattr(lm, "PACK_BYTES", 4_000)
+    packs = lm.pack_rows(documents(spark, [prose(k, 40, 50) for k in range(60)]).coalesce(1), "doc_id", "text").collect()
+    assert max(len(p["chunks"]) for p in packs) > 3 and sorted(i for p in packs for c in p["chunks"] for i in c["ids"]) == [*range(60)]
+    rows = [{"pack": p["pack"], "deleted": p["deleted"], "bytes": p["bytes"], "chunks": [c.asDict() for c in p["chunks"]]} for p in packs]
+    sent = pa.Table.from_batches(lm.send(2, 4)(iter(pa.Table.from_pylist(rows, lm._PACK).to_batches()))).to_pylist()
+    assert len(sent) <= len(packs) * 4 * 2
 
 
 def test_defined_cases(spark):
