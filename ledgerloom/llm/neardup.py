@@ -203,13 +203,16 @@ def linked_rows(keys: np.ndarray, rows: np.ndarray, n: int, percent: int) -> np.
 
 def verified_clusters(sets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join the linked nodes of each cluster; ``placed`` has node and cluster. A cluster of many or
-    large sets is cut into blocks and each pair of blocks is a unit; small clusters share a unit."""
+    large sets is cut into blocks and each pair of blocks is a unit; small clusters share a unit. Clusters of several
+    blocks are few (at most one for each ``UNIT_SETS`` sets or ``UNIT_SHINGLES`` shingles), so their table is written
+    first and Spark sends it to the sets if its size allows that, instead of dealing whole sets by cluster."""
     rows = stored(sets.join(placed.withColumnRenamed("node", "doc_id"), "doc_id"))
     mass = F.sum(F.size("shingles").cast("bigint"))
     total = rows.agg(mass).first()[0] or 0
     units = max(8, -(-total // UNIT_SHINGLES))
     blocks = rows.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / UNIT_SETS), F.ceil(mass / UNIT_SHINGLES)).cast("int").alias("blocks"))
-    cut = rows.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    blocks = stored(blocks.where("blocks > 1"))
+    cut = rows.join(blocks, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: (k != F.col("own")) | (F.col("blocks") == 1))
     unit = F.when(F.col("blocks") == 1, F.struct(F.pmod(F.xxhash64("cluster"), F.lit(units)).alias("u"), F.lit(-1).alias("i"), F.lit(-1).alias("j"))).otherwise(F.struct(F.col("cluster").alias("u"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
     dealt = cut.withColumn("other", F.explode(others)).withColumn("unit", unit).select("unit.u", "unit.i", "unit.j", "cluster", "doc_id", "shingles")
@@ -231,7 +234,7 @@ def verified_clusters(sets: DataFrame, placed: DataFrame, percent: int) -> DataF
         return pa.table([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     found = stored(dealt.groupBy("u", "i", "j").applyInArrow(verify, "a BIGINT, b BIGINT"))
-    discard(rows)
+    discard(rows, blocks)
     return found
 
 
